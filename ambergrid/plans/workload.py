@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ambergrid.functions import scalar
 from ambergrid.functions.scalar import flag, hash_order, route
+from ambergrid.models.forests import feature_importance as top_features
+from ambergrid.models.forests import fit_boosted, fit_forest, with_probability
+from ambergrid.models.isolation import IsolationForest
 from ambergrid.operators import alerts as al
 from ambergrid.operators import evaluate as ev
 from ambergrid.operators import features as ft
@@ -18,6 +21,8 @@ from ambergrid.operators import prepare as prep
 from ambergrid.operators import mapping
 from ambergrid.operators.pieces import with_row_number
 from ambergrid.operators.quantile import exact_quantile
+from ambergrid.plans.fraud import train_fraud_model
+from ambergrid.plans.multiclass import train_multiclass
 from ambergrid.plans.packaging import ship_package
 from ambergrid.registry import Registry, latest_entries, list_keys
 from ambergrid.session import materialise, scratch_path
@@ -591,3 +596,86 @@ def map_items(spark, sf_dir):
     ship_package(spark)
     indexed = mapping.with_item_index(src.transactions(spark, sf_dir).select("tx_id", "amount"), "tx_id")
     return neat(mapping.map_items(indexed, _double_amount, "tx_id long, item_index long, doubled double"))
+
+
+# -- models --------------------------------------------------------------------------
+
+_MODEL_COLUMNS = ["amount", "amount_log", "hour", "day_of_week", "is_weekend", "is_night"]
+
+
+def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with features that need no shuffle, split by class."""
+    tx = ft.with_time_features(src.transactions(spark, sf_dir)).withColumn("amount_log", F.log1p("amount"))
+    chosen = tx.select("tx_id", "is_fraud", *_MODEL_COLUMNS)
+    return materialise(prep.stratified_split(chosen, "tx_id", "is_fraud"), "model-table")
+
+
+@query
+def rf_binary(spark, sf_dir):
+    parts = prep.split_tables(_model_table(spark, sf_dir))
+    model = fit_forest(parts["train"], _MODEL_COLUMNS, "is_fraud")
+    return with_probability(model, parts["test"]).select("tx_id", "is_fraud", "rf_probability", "rf_prediction")
+
+
+@query
+def gbt_binary(spark, sf_dir):
+    parts = prep.split_tables(_model_table(spark, sf_dir))
+    model = fit_boosted(parts["train"], _MODEL_COLUMNS, "is_fraud", rounds=10)
+    return with_probability(model, parts["test"], "gbt").select("tx_id", "is_fraud", "gbt_probability", "gbt_prediction")
+
+
+@query
+def rf_multiclass(spark, sf_dir):
+    _, tested = train_multiclass(src.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return tested
+
+
+@query
+def iforest(spark, sf_dir):
+    ship_package(spark)
+    rows = _model_table(spark, sf_dir)
+    normal = rows.filter("split = 'train' AND is_fraud = 0")
+    model = IsolationForest.fit(normal, _MODEL_COLUMNS, "tx_id")
+    return model.transform(rows).select("tx_id", "isolation_score", "isolation_prediction")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    train = prep.split_tables(_model_table(spark, sf_dir))["train"]
+    model = fit_forest(train, _MODEL_COLUMNS, "is_fraud", trees=20, depth=5)
+    return top_features(model, _MODEL_COLUMNS)
+
+
+@query
+def score_batch(spark, sf_dir):
+    featured = materialise(ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK), "features")
+    model, _ = train_fraud_model(featured)
+    return model.score(featured).select(
+        "tx_id", "isolation_score", "isolation_prediction", "rf_probability", "rf_prediction", "fraud_score",
+        "is_fraudulent",
+    )
+
+
+def _saved_forest(spark: SparkSession, sf_dir: str) -> tuple[Registry, DataFrame]:
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    rows = _model_table(spark, sf_dir)
+    model = fit_forest(rows.filter("split = 'train'"), _MODEL_COLUMNS, "is_fraud", trees=10, depth=5)
+    registry.save_model(model, "forest", {"owner": "risk"})
+    return registry, rows
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    registry, rows = _saved_forest(spark, sf_dir)
+    return with_probability(registry.load_model("forest"), rows).select("tx_id", "rf_probability", "rf_prediction")
+
+
+@query
+def model_registry(spark, sf_dir):
+    registry, _ = _saved_forest(spark, sf_dir)
+    registry.save_model(registry.load_model("forest"), "old")
+    registry.delete_model("old")
+    live = latest_entries(registry.entries()).filter(~F.col("deleted"))
+    return live.select(
+        "key", F.element_at("metadata", "model_type").alias("model_type"), F.element_at("metadata", "owner").alias("owner")
+    )

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ambergrid.functions.scalar import uniform
+
 # Fixed values of the generated population.
 FRAUD_RATE = 0.02
 NORMAL_CATEGORIES = ["grocery", "gas", "restaurant", "online", "retail"]
@@ -20,12 +22,6 @@ MERCHANT_RANGE = (100, 500)
 NORMAL_STEP_SECONDS, FRAUD_STEP_SECONDS = 60, 30
 
 
-def uniform(key: str, seed: int, tag: str) -> Column:
-    """A number in [0, 1) that depends only on the key, the seed and the tag."""
-    mixed = F.xxhash64(F.col(key), F.lit(seed), F.lit(tag))
-    return F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53))
-
-
 def _integer(key: str, seed: int, tag: str, low: int, high: int) -> Column:
     return (F.floor(uniform(key, seed, tag) * (high - low)) + low).cast("long")
 
