@@ -19,6 +19,12 @@ from ambergrid.operators.prepare import Scaler, with_class_weights
 STATISTICS_MB = 1024
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the passes over a table that comes in few partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _stages(train: DataFrame, inputs: Sequence[str], scale: bool) -> list:
     if not scale:
         return [VectorAssembler(inputCols=list(inputs), outputCol="features")]
@@ -49,6 +55,7 @@ def fit_forest(
         maxMemoryInMB=STATISTICS_MB,
         **({"weightCol": "weight"} if balanced else {}),
     )
+    train = _spread(train)
     data = with_class_weights(train, label) if balanced else train
     return Pipeline(stages=[*_stages(data, inputs, scale), forest]).fit(data)
 
@@ -63,6 +70,7 @@ def fit_boosted(
     seed: int = 42,
 ) -> PipelineModel:
     """Gradient-boosted trees for a binary label."""
+    train = _spread(train)
     boosted = GBTClassifier(
         labelCol=label,
         featuresCol="features",
@@ -109,4 +117,4 @@ def fit_multiclass(
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=STATISTICS_MB
     )
-    return Pipeline(stages=[forest]).fit(train)
+    return Pipeline(stages=[forest]).fit(_spread(train))

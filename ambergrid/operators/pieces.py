@@ -14,10 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambergrid.session import DEFAULT_LIMITS, Limits, is_small
+from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, materialise
 
 PIECES = 1024
 STRIDE = 32
+#: Rows sampled per hot group to place its cuts: about 256 per piece.
+SAMPLE = 262_144
+SEED = 42
 GRID = np.arange(1, PIECES) / PIECES
 
 
@@ -63,6 +66,61 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def _cuts(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    limits: Limits,
+    carry: Mapping[str, tuple[Column, str]],
+) -> DataFrame | None:
+    """Cut values and carried aggregates of the hot keys, or None when no key is hot.
+
+    The table is computed once and written, so that every use sees the same
+    cuts. A sample is enough for the cuts (they only balance the pieces), which
+    keeps the sketches that meet in one reducer small.
+    """
+    if keys:
+        hot = F.broadcast(hot_keys(df, keys, limits))
+        rows = _null_safe(df, hot, keys, "inner")
+    else:
+        rows = df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
+    rows = rows.withColumn("_drawn", F.rand(SEED) < F.lit(float(SAMPLE)) / F.col("_n"))
+    aggregates = [grid_bounds(F.when(F.col("_drawn"), F.col(order))).alias("_bounds")]
+    aggregates += [expr.cast(kind).alias(f"_c_{name}") for name, (expr, kind) in carry.items()]
+    table = rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
+    table = table.filter(F.col("_bounds").isNotNull()).withColumn("_coarse", _coarse(F.col("_bounds")))
+    written = materialise(table, "cuts")
+    return None if written.isEmpty() else written
+
+
+def _split(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    limits: Limits,
+    carry: Mapping[str, tuple[Column, str]],
+) -> tuple[DataFrame, bool]:
+    """``df`` with ``_piece`` and ``_hot``, and whether any key had to be split."""
+    order_type = df.schema[order].dataType.simpleString()
+    fields = [f"prev:{order_type}", *[f"{n}:{t}" for n, (_, t) in carry.items()]]
+    table = None if is_small(df, limits) else _cuts(df, keys, order, limits, carry)
+    if table is None:
+        nothing = F.lit(None).cast(f"struct<{','.join(fields)}>")
+        return df.withColumns({"_piece": F.lit(0), "_hot": nothing}), False
+
+    if keys:
+        marked = _null_safe(df, F.broadcast(table), keys, "left")
+    else:
+        marked = df.crossJoin(F.broadcast(table))
+    hot = F.col("_bounds").isNotNull()
+    index = _piece_index(F.col(order), F.col("_bounds"), F.col("_coarse"))
+    marked = marked.withColumn("_piece", F.when(hot, index).otherwise(F.lit(0)))
+    prev = F.get(F.col("_bounds"), F.col("_piece") - 1)
+    packed = F.struct(prev.alias("prev"), *[F.col(f"_c_{n}").alias(n) for n in carry])
+    marked = marked.withColumn("_hot", F.when(hot, packed))
+    return marked.drop("_bounds", "_coarse", *[f"_c_{n}" for n in carry]), True
+
+
 def with_pieces(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,37 +133,9 @@ def with_pieces(
     ``_hot`` is NULL for other keys; for hot ones it holds ``prev``, the largest
     order value in earlier pieces, and the ``carry`` aggregates of the key.
     With no keys the whole table is one hot group. ``order`` must be numeric.
+    Large inputs run a small job here to find the hot keys.
     """
-    carry = carry or {}
-    order_type = df.schema[order].dataType.simpleString()
-    hot_type = f"struct<prev:{order_type}" + "".join(f",{n}:{t}" for n, (_, t) in carry.items()) + ">"
-    if is_small(df, limits):
-        return df.withColumns({"_piece": F.lit(0), "_hot": F.lit(None).cast(hot_type)})
-
-    aggregates = [grid_bounds(F.col(order)).alias("_bounds")]
-    aggregates += [expr.cast(kind).alias(f"_c_{name}") for name, (expr, kind) in carry.items()]
-    if keys:
-        hot = hot_keys(df, keys, limits).drop("_n")
-        rows = _null_safe(df, F.broadcast(hot.withColumn("_is_hot", F.lit(True))), keys, "inner")
-        table = rows.groupBy(*keys).agg(*aggregates)
-    else:
-        table = df.agg(*aggregates)
-    table = table.withColumn("_coarse", _coarse(F.col("_bounds")))
-    if keys:
-        marked = _null_safe(df, F.broadcast(table), keys, "left")
-    else:
-        marked = df.crossJoin(F.broadcast(table))
-
-    piece = F.when(
-        F.col("_bounds").isNotNull(),
-        _piece_index(F.col(order), F.col("_bounds"), F.col("_coarse")),
-    ).otherwise(F.lit(0))
-    marked = marked.withColumn("_piece", piece)
-    prev = F.get(F.col("_bounds"), F.col("_piece") - 1)
-    packed = F.struct(prev.alias("prev"), *[F.col(f"_c_{n}").alias(n) for n in carry])
-    return marked.withColumn(
-        "_hot", F.when(F.col("_bounds").isNotNull(), packed)
-    ).drop("_bounds", "_coarse", *[f"_c_{n}" for n in carry])
+    return _split(df, keys, order, limits, carry or {})[0]
 
 
 def with_running_total(
@@ -120,13 +150,12 @@ def with_running_total(
 
     Exact for any skew: running sums inside a piece plus one offset per piece.
     """
-    weighted = df.withColumn("_w", weight)
-    marked = with_pieces(weighted, keys, order, limits).drop("_hot")
+    marked, is_split = _split(df.withColumn("_w", weight), keys, order, limits, {})
+    marked = marked.drop("_hot")
     inside = Window.partitionBy(*keys, "_piece").orderBy(order, *ties)
     earlier = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.sum("_w").over(earlier) - F.col("_w")
-
-    if is_small(df, limits):
+    if not is_split:
         whole = Window.partitionBy(*keys, "_piece")
         return (
             marked.withColumn("before", running)
@@ -169,7 +198,7 @@ def salted_left_join(
     key: str,
     spread: str,
     limits: Limits = DEFAULT_LIMITS,
-    salts: int = 256,
+    salts: int = PIECES,
 ) -> DataFrame:
     """Left join of facts to one row per key, with hot keys spread over ``salts`` tasks.
 

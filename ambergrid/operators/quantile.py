@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambergrid.operators.pieces import PIECES, grid_bounds, with_running_total
-from ambergrid.session import DEFAULT_LIMITS, Limits, is_small
+from ambergrid.operators.pieces import PIECES, SAMPLE, SEED, grid_bounds, with_running_total
+from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, plan_bytes
 
 #: Below this many rows in the search range another narrowing pass is not worth it.
-_NARROW_ENOUGH = 65_536
+_NARROW_ENOUGH = 1_000_000
+_MARGIN = 8
+
+
+def _passes(df: DataFrame, narrow_enough: int) -> int:
+    """Narrowing passes for a column of this size; one cuts the bracket about 50 times."""
+    rows = max(plan_bytes(df) / 8, 1.0)
+    return min(4, math.ceil(math.log(max(rows / narrow_enough, 1.0), 50)))
 
 
 def order_statistic(
@@ -19,16 +27,17 @@ def order_statistic(
     column: str,
     rank: Callable[[Column], Column],
     keys: Sequence[str] = (),
-    narrowings: int = 2,
     narrow_enough: int = _NARROW_ENOUGH,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """The values at ``floor(rank)`` and ``ceil(rank)`` (from 0) of the sorted column.
 
     ``rank`` maps the number of non-null values to a possibly fractional rank.
-    One row per key: keys..., ``rank``, ``low``, ``high``. A sketch brackets the
-    rank, each pass cuts the bracket to about 1/256, and only the distinct values
-    left inside are ordered. Keys must be few (class labels): their table is
-    broadcast.
+    One row per key: keys..., ``rank``, ``low``, ``high``. A sampled sketch
+    brackets the rank, each pass over the column narrows the bracket, and only
+    the distinct values left inside are ordered. The ranks themselves are
+    counted, so the result is exact; a bracket that misses raises an error.
+    Keys must be few (class labels): their table is broadcast.
     """
     values = df.select(*keys, F.col(column).alias("_x")).filter(F.col("_x").isNotNull())
     kind = values.schema["_x"].dataType
@@ -41,41 +50,34 @@ def order_statistic(
     x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
     inside = (lo.isNull() | (x >= lo)) & (hi.isNull() | (x <= hi))
 
-    state = None
-    for _ in range(narrowings):
-        if state is None:
-            found = values.groupBy(*keys).agg(
-                F.count("_x").alias("_m"), grid_bounds(x).alias("_bounds")
-            )
-            found = found.select(
-                *keys,
-                rank(F.col("_m")).cast("double").alias("rank"),
-                F.lit(None).cast(kind).alias("_lo"),
-                F.lit(None).cast(kind).alias("_hi"),
-                F.lit(0).cast("long").alias("_below"),
-                "_m",
-                "_bounds",
-            )
-        else:
-            found = attach(state).groupBy(*keys).agg(
-                F.first("rank").alias("rank"),
-                F.first("_lo").alias("_lo"),
-                F.first("_hi").alias("_hi"),
-                F.coalesce(F.count_if(x < lo), F.lit(0)).alias("_below"),
-                F.count_if(inside).alias("_m"),
-                grid_bounds(F.when(inside, x)).alias("_bounds"),
-            )
-        # Two grid cells of margin on each side cover the error of the sketch.
+    # _n is the (estimated) number of values inside the bracket.
+    state = values.groupBy(*keys).agg(F.count("_x").alias("_n")).select(
+        *keys,
+        rank(F.col("_n")).cast("double").alias("rank"),
+        F.lit(None).cast(kind).alias("_lo"),
+        F.lit(None).cast(kind).alias("_hi"),
+        F.col("_n").cast("double").alias("_n"),
+    )
+    for _ in range(_passes(df, narrow_enough)):
+        drawn = inside & (F.rand(SEED) < F.lit(float(sample)) / F.col("_n"))
+        found = attach(state).withColumn("_drawn", drawn).groupBy(*keys, "rank", "_lo", "_hi").agg(
+            F.count_if(F.coalesce(x < lo, F.lit(False))).alias("_below"),
+            F.count_if(inside).alias("_m"),
+            grid_bounds(F.when(F.col("_drawn"), x)).alias("_bounds"),
+        )
+        # Cells of margin on each side cover the errors of sample and sketch.
         per_row = F.lit(float(PIECES)) / F.col("_m")
-        first = F.floor((F.floor("rank") - F.col("_below")) * per_row).cast("int") - 2
-        last = F.floor((F.ceil("rank") - F.col("_below") + 1) * per_row).cast("int") + 2
+        first = F.floor((F.floor("rank") - F.col("_below")) * per_row).cast("int") - _MARGIN
+        last = F.floor((F.ceil("rank") - F.col("_below") + 1) * per_row).cast("int") + _MARGIN
         wide = F.col("_m") > narrow_enough
         state = found.select(
             *keys,
             "rank",
             F.when(wide, F.coalesce(F.get("_bounds", first), lo)).otherwise(lo).alias("_lo"),
             F.when(wide, F.coalesce(F.get("_bounds", last), hi)).otherwise(hi).alias("_hi"),
+            F.when(wide, F.col("_m") * (last - first) / PIECES).otherwise(F.col("_m")).alias("_n"),
         )
+    state = state.drop("_n")
 
     # Values below the bracket share one NULL row, which sorts first.
     counted = (

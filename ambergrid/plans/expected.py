@@ -289,4 +289,13 @@ EXPECTED = {
       FROM tx GROUP BY 1, 2""",
     "map_items": f"""WITH {TX} SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS item_index,
       round(amount * 2, 6) AS doubled FROM tx""",
+    "stream_hourly": f"""WITH {TX}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)
+      SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n, round(sum(amount), 6) AS amount
+      FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",
+    "stream_velocity": f"""WITH {TX}, {GAPS} SELECT tx_id, user_id, round(gap, 6) AS gap_seconds
+      FROM gaps JOIN tx USING (tx_id)""",
+    "stream_features": f"""WITH {FEATURES} SELECT tx_id, round(amount_zscore, 6) AS amount_zscore,
+      {_cols('', 'high_amount_flag hour')} FROM feats""",
+    "stream_alerts": f"""WITH {SCORED_TX} SELECT tx_id, user_id, {_cols('amount rf_probability')} FROM scored
+      WHERE rf_probability > 0.9::DOUBLE""",
 }

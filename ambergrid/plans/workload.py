@@ -29,6 +29,8 @@ from ambergrid.session import materialise, scratch_path
 from ambergrid.sinks import append_alerts, append_metrics, write_report
 from ambergrid.sources import tables as src
 from ambergrid.sources.synthetic import generate_transactions
+from ambergrid.streaming import common as stream_common
+from ambergrid.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -679,3 +681,67 @@ def model_registry(spark, sf_dir):
     return live.select(
         "key", F.element_at("metadata", "model_type").alias("model_type"), F.element_at("metadata", "owner").alias("owner")
     )
+
+
+# -- streams ---------------------------------------------------------------------------
+
+
+def _drain(stream_query) -> None:
+    stream_query.awaitTermination()
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_common.event_stream(spark, f"{sf_dir}/event[s].parquet")
+
+
+@query
+def stream_hourly(spark, sf_dir):
+    out, state = scratch_path(spark, "hourly"), scratch_path(spark, "hourly-state")
+    counts = jobs.hourly_counts(_stream(spark, sf_dir))
+    _drain(stream_common.write_stream(counts, out, state))
+    return neat(spark.read.schema(counts.schema).parquet(out))
+
+
+@query
+def stream_velocity(spark, sf_dir):
+    ship_package(spark)
+    out, state = scratch_path(spark, "velocity"), scratch_path(spark, "velocity-state")
+    gaps = jobs.time_since_last(_stream(spark, sf_dir))
+    _drain(stream_common.write_stream(gaps, out, state))
+    return neat(spark.read.schema(gaps.schema).parquet(out), "tx_id", "user_id", "gap_seconds")
+
+
+def _stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = src.transactions(spark, sf_dir)
+    profile = materialise(jobs.user_profile(history), "profile")
+    limit = jobs.high_amount_limit(history, ft.HIGH_AMOUNT_QUANTILE)
+    return jobs.score_features(_stream(spark, sf_dir), profile, limit, ft.EVENT_RISK)
+
+
+@query
+def stream_features(spark, sf_dir):
+    out, state = scratch_path(spark, "stream-features"), scratch_path(spark, "stream-features-state")
+    featured = _stream_features(spark, sf_dir).select("tx_id", "amount_zscore", "high_amount_flag", "hour")
+    _drain(stream_common.write_stream(featured, out, state))
+    return neat(spark.read.schema(featured.schema).parquet(out))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    out, state = scratch_path(spark, "stream-alerts"), scratch_path(spark, "stream-alerts-state")
+    scored = _stream(spark, sf_dir).withColumns(stand_in_scores())
+    _drain(jobs.alert_stream(scored, out, state))
+    return neat(spark.read.parquet(out), "tx_id", "user_id", "amount", "rf_probability")
+
+
+@query
+def stream_score(spark, sf_dir):
+    ship_package(spark)
+    batch = ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK)
+    model, _ = train_fraud_model(materialise(batch, "features"), trees=20)
+    out, state = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-state")
+    scored = model.score(_stream_features(spark, sf_dir)).select(
+        "tx_id", "user_id", "ts", "amount", "isolation_score", "rf_probability", "fraud_score"
+    )
+    _drain(stream_common.write_stream(scored, out, state))
+    return spark.read.schema(scored.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
