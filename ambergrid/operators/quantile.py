@@ -13,7 +13,11 @@ from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, plan_bytes
 
 #: Below this many rows in the search range another narrowing pass is not worth it.
 _NARROW_ENOUGH = 1_000_000
-_MARGIN = 8
+
+
+def _margin(sample: int) -> int:
+    """Grid cells to leave on each side: seven deviations of a sampled rank, and the sketch."""
+    return math.ceil(7 * 0.5 / math.sqrt(sample) * PIECES) + 2
 
 
 def _passes(df: DataFrame, narrow_enough: int) -> int:
@@ -58,6 +62,7 @@ def order_statistic(
         F.lit(None).cast(kind).alias("_hi"),
         F.col("_n").cast("double").alias("_n"),
     )
+    margin = _margin(sample)
     for _ in range(_passes(df, narrow_enough)):
         drawn = inside & (F.rand(SEED) < F.lit(float(sample)) / F.col("_n"))
         found = attach(state).withColumn("_drawn", drawn).groupBy(*keys, "rank", "_lo", "_hi").agg(
@@ -67,8 +72,8 @@ def order_statistic(
         )
         # Cells of margin on each side cover the errors of sample and sketch.
         per_row = F.lit(float(PIECES)) / F.col("_m")
-        first = F.floor((F.floor("rank") - F.col("_below")) * per_row).cast("int") - _MARGIN
-        last = F.floor((F.ceil("rank") - F.col("_below") + 1) * per_row).cast("int") + _MARGIN
+        first = F.floor((F.floor("rank") - F.col("_below")) * per_row).cast("int") - margin
+        last = F.floor((F.ceil("rank") - F.col("_below") + 1) * per_row).cast("int") + margin
         wide = F.col("_m") > narrow_enough
         state = found.select(
             *keys,
