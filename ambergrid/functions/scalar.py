@@ -73,7 +73,8 @@ def duration_ms(text: Column) -> Column:
 def hash_order(key: Column, seed: int) -> Column:
     """60-bit number from md5(key, seed): a repeatable random order of the keys."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    # Never NULL, so that no filter evaluates it a second time.
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def uniform(key: str, seed: int, tag: str) -> Column:

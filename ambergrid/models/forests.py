@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ambergrid.functions.scalar import flag
 from ambergrid.operators.alerts import PROBABILITY_ABOVE
 from ambergrid.operators.prepare import Scaler, with_class_weights
+from ambergrid.session import scratch_path
 
 #: Memory for split statistics per pass; more of it means fewer passes over the data.
 STATISTICS_MB = 1024
+#: Remember each row's node between levels instead of walking every tree again.
+PASSES = {"maxMemoryInMB": STATISTICS_MB, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -25,6 +28,17 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as scoring jobs get it: written and read back.
+
+    A freshly fitted forest drags its training summary, and with it the
+    session, into every task; the stored one does not.
+    """
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def _stages(train: DataFrame, inputs: Sequence[str], scale: bool) -> list:
     if not scale:
         return [VectorAssembler(inputCols=list(inputs), outputCol="features")]
@@ -52,12 +66,13 @@ def fit_forest(
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
-        maxMemoryInMB=STATISTICS_MB,
+        **PASSES,
         **({"weightCol": "weight"} if balanced else {}),
     )
     train = _spread(train)
     data = with_class_weights(train, label) if balanced else train
-    return Pipeline(stages=[*_stages(data, inputs, scale), forest]).fit(data)
+    fitted = Pipeline(stages=[*_stages(data, inputs, scale), forest]).fit(data)
+    return _reloaded(fitted, train.sparkSession)
 
 
 def fit_boosted(
@@ -78,7 +93,7 @@ def fit_boosted(
         maxDepth=depth,
         stepSize=step,
         seed=seed,
-        maxMemoryInMB=STATISTICS_MB,
+        **PASSES,
     )
     return Pipeline(stages=[*_stages(train, inputs, False), boosted]).fit(train)
 
@@ -115,6 +130,6 @@ def fit_multiclass(
 ) -> PipelineModel:
     """Random forest over a ready ``features`` vector with any number of classes."""
     forest = RandomForestClassifier(
-        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=STATISTICS_MB
+        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, **PASSES
     )
-    return Pipeline(stages=[forest]).fit(_spread(train))
+    return _reloaded(Pipeline(stages=[forest]).fit(_spread(train)), train.sparkSession)

@@ -97,20 +97,20 @@ def order_statistic(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = counted.withColumn("_upto", F.sum("_c").over(upto))
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0))
     picked = running.groupBy(*keys, "rank").agg(
-        F.min(F.when(F.col("_upto") > F.floor("rank"), F.struct("_upto", "_v"))).alias("_low"),
-        F.min(F.when(F.col("_upto") > F.ceil("rank"), F.struct("_upto", "_v"))).alias("_high"),
-    )
-    checked = F.when(
-        (F.col("rank") >= 0) & (F.col("_low._v").isNull() | F.col("_high._v").isNull()),
-        F.raise_error(F.lit("order statistic fell outside its bracket")),
+        F.min(F.when(F.col("_upto") > F.floor("rank"), F.col("_v"))).alias("low"),
+        F.min(F.when(F.col("_upto") > F.ceil("rank"), F.col("_v"))).alias("high"),
+        below.alias("_below"),
     )
     valid = F.col("rank") >= 0
+    missed = valid & (F.col("high").isNull() | (F.col("_below") > F.floor("rank")))
+    error = F.raise_error(F.lit("order statistic fell outside its bracket")).cast(kind)
     return picked.select(
         *keys,
         "rank",
-        F.coalesce(checked.cast(kind), F.when(valid, F.col("_low._v"))).alias("low"),
-        F.when(valid, F.col("_high._v")).alias("high"),
+        F.when(missed, error).when(valid, F.col("low")).alias("low"),
+        F.when(valid, F.col("high")).alias("high"),
     )
 
 
