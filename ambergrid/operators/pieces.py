@@ -199,22 +199,25 @@ def salted_left_join(
     spread: str,
     limits: Limits = DEFAULT_LIMITS,
     salts: int = PIECES,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of facts to one row per key, with hot keys spread over ``salts`` tasks.
 
     ``spread`` is a facts column with many values; the hot rows of ``table`` are
-    repeated once per salt, at most ``max_hot * salts`` rows.
+    repeated once per salt, at most ``max_hot * salts`` rows. ``hot`` gives the
+    hot keys when they are known (at most ``max_hot``); otherwise they are counted.
     """
-    if is_small(facts, limits):
-        return facts.join(table, key, "left")
-    hot = F.broadcast(hot_keys(facts, [key], limits).select(key, F.lit(True).alias("_is_hot")))
-    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    if is_small(table, limits):
+        return facts.join(F.broadcast(table), key, "left")
+    if hot is None:
+        if is_small(facts, limits):
+            return facts.join(table, key, "left")
+        hot = hot_keys(facts, [key], limits)
+    marks = F.broadcast(hot.select(key, F.lit(True).alias("_is_hot")))
+    any_salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     every = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = facts.join(hot, key, "left").withColumn("_salt", salt).drop("_is_hot")
-    right = table.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_is_hot")
     # A NULL key matches nothing; give such rows any salt so they do not pile up.
-    left = left.withColumn(
-        "_salt",
-        F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.col("_salt")),
-    )
+    salt = F.when(F.col("_is_hot") | F.col(key).isNull(), any_salt).otherwise(F.lit(0))
+    left = facts.join(marks, key, "left").withColumn("_salt", salt).drop("_is_hot")
+    right = table.join(marks, key, "left").withColumn("_salt", F.explode(every)).drop("_is_hot")
     return left.join(right, [key, "_salt"], "left").drop("_salt")

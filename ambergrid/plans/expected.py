@@ -294,6 +294,8 @@ EXPECTED = {
       FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",
     "stream_velocity": f"""WITH {TX}, {GAPS} SELECT tx_id, user_id, round(gap, 6) AS gap_seconds
       FROM gaps JOIN tx USING (tx_id)""",
+    "stream_velocity_bulk": f"""WITH {TX}, {GAPS} SELECT tx_id, user_id, round(gap, 6) AS gap_seconds
+      FROM gaps JOIN tx USING (tx_id)""",
     "stream_features": f"""WITH {FEATURES} SELECT tx_id, round(amount_zscore, 6) AS amount_zscore,
       {_cols('', 'high_amount_flag hour')} FROM feats""",
     "stream_alerts": f"""WITH {SCORED_TX} SELECT tx_id, user_id, {_cols('amount rf_probability')} FROM scored

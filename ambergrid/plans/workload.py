@@ -711,6 +711,13 @@ def stream_velocity(spark, sf_dir):
     return neat(spark.read.schema(gaps.schema).parquet(out), "tx_id", "user_id", "gap_seconds")
 
 
+@query
+def stream_velocity_bulk(spark, sf_dir):
+    out, state = scratch_path(spark, "velocity-bulk"), scratch_path(spark, "velocity-bulk-state")
+    _drain(jobs.gap_batches(_stream(spark, sf_dir), out, state))
+    return neat(spark.read.parquet(f"{out}/gaps"), "tx_id", "user_id", "gap_seconds")
+
+
 def _stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = src.transactions(spark, sf_dir)
     profile = materialise(jobs.user_profile(history), "profile")

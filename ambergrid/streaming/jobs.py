@@ -8,13 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ambergrid.functions.scalar import flag, micros
 from ambergrid.operators.alerts import STREAM_ALERT_ABOVE, alert_reason
-from ambergrid.operators.features import MERCHANT_RISK, point_features, user_stats
+from ambergrid.operators.features import MERCHANT_RISK, point_features, user_stats, with_time_since_last
+from ambergrid.operators.pieces import salted_left_join
 from ambergrid.operators.quantile import exact_quantile
+from ambergrid.session import DEFAULT_LIMITS, Limits
 from ambergrid.streaming.common import for_each_batch
 
 LATENESS = "10 minutes"
@@ -43,9 +45,18 @@ def score_features(
     profile: DataFrame,
     high_amount: float,
     risk: Mapping[str, int] = MERCHANT_RISK,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Features of arriving transactions from a stored profile; unknown users keep NULLs."""
-    known = stream.join(profile, "user_id", "left").withColumns(
+    """Features of arriving transactions from a stored profile; unknown users keep NULLs.
+
+    A large profile is joined with its busiest users salted, going by the counts in it.
+    """
+    rows = F.col("user_transaction_count")
+    total = profile.agg(F.sum(rows).alias("_all"))
+    busy = profile.crossJoin(F.broadcast(total)).filter(
+        rows > F.greatest(F.lit(float(limits.hot_rows)), F.col("_all") / limits.max_hot)
+    )
+    known = salted_left_join(stream, profile, "user_id", "tx_id", limits, hot=busy).withColumns(
         {
             "time_since_last_transaction": F.lit(None).cast("double"),
             "high_amount_flag": flag(F.col("amount") > high_amount),
@@ -101,6 +112,48 @@ def time_since_last(tx: DataFrame) -> DataFrame:
     return gaps.withColumn("gap_seconds", F.when(~F.isnan("gap_seconds"), F.col("gap_seconds")))
 
 
+def gap_batches(
+    tx: DataFrame,
+    path: str,
+    checkpoint: str,
+    limits: Limits = DEFAULT_LIMITS,
+    every: str | None = None,
+) -> StreamingQuery:
+    """The same gaps by one batch join and window per micro-batch, for backfills and busy users.
+
+    Instead of keyed state, a table of last times is carried from batch to batch
+    in two slots that alternate; inside a batch a hot user is split by time. A
+    replayed batch reads the slot of the batch before and overwrites its own.
+    """
+    last_schema = "user_id long, last_us long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id == 0:
+            last = spark.createDataFrame([], last_schema)
+        else:
+            last = spark.read.schema(last_schema).parquet(f"{path}/last/slot={(batch_id - 1) % 2}")
+        rows = batch.select("user_id", "tx_id", "ts", micros(F.col("ts")).alias("us")).filter("user_id IS NOT NULL")
+        known = salted_left_join(rows, last, "user_id", "tx_id", limits)
+        # Late rows leave the user's sequence: no gap, and no effect on later rows.
+        fresh = F.col("last_us").isNull() | (F.col("us") >= F.col("last_us"))
+        masked = known.withColumns({"_who": F.col("user_id"), "user_id": F.when(fresh, F.col("user_id"))})
+        since = (F.col("us") - F.col("last_us")) / F.lit(1e6)
+        gap = F.when(
+            F.col("user_id").isNotNull(), F.coalesce(F.col("time_since_last_transaction"), since)
+        )
+        gaps = with_time_since_last(masked, limits).select(
+            F.col("_who").alias("user_id"), "tx_id", "ts", gap.alias("gap_seconds")
+        )
+        gaps.write.mode("overwrite").parquet(f"{path}/gaps/batch_id={batch_id}")
+        newest = last.unionByName(rows.select("user_id", F.col("us").alias("last_us")))
+        newest.groupBy("user_id").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(
+            f"{path}/last/slot={batch_id % 2}"
+        )
+
+    return for_each_batch(tx, write, checkpoint, every)
+
+
 def alert_stream(
     scored: DataFrame,
     path: str,

@@ -1,0 +1,184 @@
+import pytest
+from pyspark.sql import functions as F
+
+from ambergrid.operators import features as ft
+from ambergrid.session import Limits
+from ambergrid.sources import tables as src
+from ambergrid.streaming import common, jobs
+from conftest import SF_SMALL
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    """A folder of event files that arrive in time order, four at first."""
+    events = src.table(spark, SF_SMALL, "events").withColumn("part", F.floor(F.col("event_id") / 200))
+    folder = tmp_path / "events"
+    folder.mkdir()
+
+    def arrive(part):
+        rows = events.filter(F.col("part") == part).drop("part")
+        rows.coalesce(1).write.mode("append").parquet(str(folder))
+
+    for part in range(4):
+        arrive(part)
+    return folder, arrive
+
+
+def run(query):
+    query.awaitTermination()
+    return query
+
+
+def test_hourly_counts_equal_the_batch(spark, feed, tmp_path):
+    folder, arrive = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for extra in (None, 4):
+        if extra:
+            arrive(extra)
+        stream = common.event_stream(spark, str(folder), maxFilesPerTrigger="1")
+        run(common.write_stream(jobs.hourly_counts(stream), out, state))
+    tx = src.transactions(spark, SF_SMALL)
+    mark = tx.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTES")).first()[0]
+    batch = (
+        tx.groupBy(F.window("ts", "1 hour").alias("w"), "category")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("w.end") <= F.lit(mark))
+        .select(F.col("w.start").cast("timestamp").alias("window_start"), "category", "n")
+    )
+    got = spark.read.parquet(out).select("window_start", "category", "n")
+    assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    folder = tmp_path / "events"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def arrive(ids, ts):
+        rows = [(i, ts, 1, "view", 1.0, "{}") for i in ids]
+        df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(folder))
+
+    dropped = 0
+    for ids, ts in (([1, 2], "2024-01-01 10:05:00"), ([3], "2024-01-01 12:00:00"), ([4, 5], "2024-01-01 10:06:00")):
+        arrive(ids, ts)
+        stream = common.event_stream(spark, str(folder), maxFilesPerTrigger="1")
+        query = run(common.write_stream(jobs.hourly_counts(stream), out, state))
+        dropped += sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    # Counted after partial aggregation: the two late rows arrive as one group.
+    assert dropped >= 1
+    assert [r["n"] for r in spark.read.parquet(out).collect()] == [2]
+
+
+@pytest.mark.parametrize("limit", ["1", "100"])
+def test_gaps_across_micro_batches_and_restarts(spark, feed, tmp_path, limit):
+    folder, arrive = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for extra in (None, 4):
+        if extra:
+            arrive(extra)
+        stream = common.event_stream(spark, str(folder), maxFilesPerTrigger=limit)
+        run(common.write_stream(jobs.time_since_last(stream), out, state))
+    batch = ft.with_time_since_last(src.transactions(spark, SF_SMALL))
+    expected = batch.select("tx_id", F.round("time_since_last_transaction", 6)).collect()
+    got = spark.read.parquet(out).select("tx_id", F.round("gap_seconds", 6)).collect()
+    assert sorted(map(str, got)) == sorted(
+        str(r).replace("round(time_since_last_transaction, 6)", "round(gap_seconds, 6)") for r in expected
+    )
+
+
+@pytest.mark.parametrize("form", ["plain", "split"])
+def test_bulk_gaps_across_micro_batches_and_restarts(spark, feed, tmp_path, form, split_limits):
+    folder, arrive = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    limits = split_limits if form == "split" else Limits()
+    for extra in (None, 4):
+        if extra:
+            arrive(extra)
+        stream = common.event_stream(spark, str(folder), maxFilesPerTrigger="2")
+        run(jobs.gap_batches(stream, out, state, limits))
+    batch = ft.with_time_since_last(src.transactions(spark, SF_SMALL))
+    expected = batch.select("tx_id", F.round("time_since_last_transaction", 6)).collect()
+    got = spark.read.parquet(out + "/gaps").select("tx_id", F.round("gap_seconds", 6)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r)) for r in expected)
+
+
+def test_bulk_gaps_of_late_rows_and_a_replay(spark, tmp_path):
+    folder = tmp_path / "events"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i, ts in enumerate(["10:00:00", "10:10:00", "10:05:00", "10:11:00"]):
+        row = [(i, f"2024-01-01 {ts}", 1, "view", 1.0, "{}")]
+        df = spark.createDataFrame(row, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = common.event_stream(spark, str(folder))
+        run(jobs.gap_batches(stream, out, state))
+    got = {r["tx_id"]: r["gap_seconds"] for r in spark.read.parquet(out + "/gaps").collect()}
+    assert got == {0: None, 1: 600.0, 2: None, 3: 60.0}
+    # Forget that the last batch was committed: it runs again and changes nothing.
+    for name in ("3", ".3.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    run(jobs.gap_batches(common.event_stream(spark, str(folder)), out, state))
+    again = {r["tx_id"]: r["gap_seconds"] for r in spark.read.parquet(out + "/gaps").collect()}
+    assert again == got
+
+
+def test_late_row_does_not_move_the_state_back(spark, tmp_path):
+    folder = tmp_path / "events"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i, ts in enumerate(["10:00:00", "10:10:00", "10:05:00", "10:11:00"]):
+        row = [(i, f"2024-01-01 {ts}", 1, "view", 1.0, "{}")]
+        df = spark.createDataFrame(row, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(folder))
+        run(common.write_stream(jobs.time_since_last(common.event_stream(spark, str(folder))), out, state))
+    got = {r["tx_id"]: r["gap_seconds"] for r in spark.read.parquet(out).collect()}
+    assert got == {0: None, 1: 600.0, 2: None, 3: 60.0}
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(small_bytes=0, hot_rows=5, max_hot=100)])
+def test_profile_scoring_equals_the_batch(spark, feed, tmp_path, limits):
+    folder, arrive = feed
+    arrive(4)
+    history = src.transactions(spark, SF_SMALL)
+    profile = jobs.user_profile(history)
+    limit = jobs.high_amount_limit(history, ft.HIGH_AMOUNT_QUANTILE)
+    stream = common.event_stream(spark, str(folder), maxFilesPerTrigger="2")
+    featured = jobs.score_features(stream, profile, limit, ft.EVENT_RISK, limits)
+    out = str(tmp_path / "out")
+    run(common.write_stream(featured.select("tx_id", "amount_zscore", "high_amount_flag"), out, str(tmp_path / "state")))
+    batch = ft.transaction_features(history, ft.EVENT_RISK).select("tx_id", F.round("amount_zscore", 6), "high_amount_flag")
+    got = spark.read.parquet(out).select("tx_id", F.round("amount_zscore", 6), "high_amount_flag")
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_alerts_are_written_once(spark, feed, tmp_path):
+    folder, arrive = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    told = []
+    for extra in (None, 4, None):
+        if extra:
+            arrive(extra)
+        stream = common.event_stream(spark, str(folder), maxFilesPerTrigger="1")
+        scored = stream.withColumn("rf_probability", F.col("tx_id") % 101 / 100)
+        run(jobs.alert_stream(scored, out, state, on_alert=lambda b, n: told.append(n)))
+    found = spark.read.parquet(out)
+    expected = src.transactions(spark, SF_SMALL).filter(F.col("tx_id") % 101 / 100 > 0.9).count()
+    assert found.count() == found.select("tx_id").distinct().count() == expected == sum(told)
+
+
+def test_replayed_batch_overwrites_itself(spark, feed, tmp_path):
+    """A batch that failed after writing is written again to the same folder."""
+    folder, _ = feed
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    fail = {"on": True}
+
+    def stop_once(batch_id, rows):
+        if fail["on"]:
+            fail["on"] = False
+            raise RuntimeError("lost after the write")
+
+    for _ in range(2):
+        scored = common.event_stream(spark, str(folder), maxFilesPerTrigger="10").withColumn("rf_probability", F.lit(1.0))
+        try:
+            run(jobs.alert_stream(scored, out, state, on_alert=stop_once))
+        except Exception as error:
+            assert "lost after the write" in str(error)
+    assert spark.read.parquet(out).count() == 800
