@@ -22,12 +22,6 @@ STATISTICS_MB = 1024
 PASSES = {"maxMemoryInMB": STATISTICS_MB, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores for the passes over a table that comes in few partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
     """The model as scoring jobs get it: written and read back.
 
@@ -69,7 +63,6 @@ def fit_forest(
         **PASSES,
         **({"weightCol": "weight"} if balanced else {}),
     )
-    train = _spread(train)
     data = with_class_weights(train, label) if balanced else train
     fitted = Pipeline(stages=[*_stages(data, inputs, scale), forest]).fit(data)
     return _reloaded(fitted, train.sparkSession)
@@ -85,7 +78,6 @@ def fit_boosted(
     seed: int = 42,
 ) -> PipelineModel:
     """Gradient-boosted trees for a binary label."""
-    train = _spread(train)
     boosted = GBTClassifier(
         labelCol=label,
         featuresCol="features",
@@ -132,4 +124,4 @@ def fit_multiclass(
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, **PASSES
     )
-    return _reloaded(Pipeline(stages=[forest]).fit(_spread(train)), train.sparkSession)
+    return _reloaded(Pipeline(stages=[forest]).fit(train), train.sparkSession)

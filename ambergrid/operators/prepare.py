@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ambergrid.functions.scalar import flag, hash_order
 from ambergrid.operators.features import MODEL_FEATURES
+from ambergrid.operators.pieces import with_running_total
 from ambergrid.operators.quantile import order_statistic
+from ambergrid.session import DEFAULT_LIMITS, Limits, is_small
 
 #: Default gap for a user's first transaction: one hour.
 FIRST_GAP_SECONDS = 3600.0
@@ -81,26 +83,43 @@ class Preparation:
         return df.withColumns({f"x_{c}": self._value(df, c) for c in self.features})
 
 
+def _mark_test_rows(
+    df: DataFrame,
+    key: str,
+    keys: Sequence[str],
+    wanted: Callable[[Column], Column],
+    seed: int,
+    name: str,
+    limits: Limits,
+) -> DataFrame:
+    """``name`` = 'test' for the first ``wanted(n)`` rows (per class) in hash order, else 'train'."""
+    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
+    if is_small(df, limits):
+        ranked = with_running_total(hashed, keys, "_h", F.lit(1), [key], limits)
+        is_test = F.col("before") < wanted(F.col("total"))
+        for k in keys:
+            is_test = is_test & F.col(k).isNotNull()
+        helpers = ["_h", "before", "total"]
+    else:
+        # Only the cut hash is looked up; marking the rows is then map-only.
+        cut = order_statistic(hashed, "_h", lambda n: wanted(n) - 1, keys)
+        cut = F.broadcast(cut.select(*keys, F.col("low").alias("_cut")))
+        ranked = hashed.join(cut, list(keys), "left") if keys else hashed.crossJoin(cut)
+        is_test = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
+        helpers = ["_h", "_cut"]
+    return ranked.withColumn(name, F.when(is_test, "test").otherwise("train")).drop(*helpers)
+
+
 def random_split(
     df: DataFrame,
     key: str,
     test_share: float = 0.25,
     seed: int = 42,
     name: str = "split",
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Add ``split`` = 'test' for exactly ceil(n * share) rows, chosen by key hash.
-
-    Only the cut hash is looked up (one number); marking the rows is map-only.
-    """
-    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
-    wanted = order_statistic(hashed, "_h", lambda n: F.ceil(n * F.lit(test_share)) - 1)
-    cut = wanted.select(F.col("low").alias("_cut"))
-    is_test = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-    return (
-        hashed.crossJoin(F.broadcast(cut))
-        .withColumn(name, F.when(is_test, "test").otherwise("train"))
-        .drop("_h", "_cut")
-    )
+    """Add ``split`` = 'test' for exactly ceil(n * share) rows, chosen by key hash."""
+    return _mark_test_rows(df, key, [], lambda n: F.ceil(n * F.lit(test_share)), seed, name, limits)
 
 
 def stratified_split(
@@ -110,20 +129,12 @@ def stratified_split(
     test_share: float = 0.2,
     seed: int = 42,
     name: str = "split",
-    classes: Sequence | None = None,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """The same share of each class as test rows: round(share * n_class) of them."""
-    if classes is None:
-        classes = distinct_levels(df, label)  # also proves that the cut table is small
-    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
-    wanted = order_statistic(hashed, "_h", lambda n: F.round(n * F.lit(test_share)) - 1, keys=[label])
-    cut = wanted.filter(F.col(label).isin(list(classes))).select(label, F.col("low").alias("_cut"))
-    is_test = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-    return (
-        hashed.join(F.broadcast(cut), label, "left")
-        .withColumn(name, F.when(is_test, "test").otherwise("train"))
-        .drop("_h", "_cut")
-    )
+    if not is_small(df, limits):
+        distinct_levels(df, label)  # proves that one cut per class can be broadcast
+    return _mark_test_rows(df, key, [label], lambda n: F.round(n * F.lit(test_share)), seed, name, limits)
 
 
 def split_tables(df: DataFrame, name: str = "split") -> dict[str, DataFrame]:

@@ -70,7 +70,7 @@ def train_fraud_model(
     inputs = preparation.inputs
     labelled = preparation.apply(featured).select("tx_id", "is_fraud", *inputs)
     # Several passes follow (scaler, trees, isolation forest, evaluation).
-    data = materialise(stratified_split(labelled, "tx_id", "is_fraud", TEST_SHARE, seed), "model-input")
+    data = materialise(stratified_split(labelled, "tx_id", "is_fraud", TEST_SHARE, seed), "model-input", spread=True)
     parts = split_tables(data)
     forest = fit_forest(parts["train"], inputs, "is_fraud", trees, depth, seed=seed)
 

@@ -609,7 +609,7 @@ def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with features that need no shuffle, split by class."""
     tx = ft.with_time_features(src.transactions(spark, sf_dir)).withColumn("amount_log", F.log1p("amount"))
     chosen = tx.select("tx_id", "is_fraud", *_MODEL_COLUMNS)
-    return materialise(prep.stratified_split(chosen, "tx_id", "is_fraud"), "model-table")
+    return materialise(prep.stratified_split(chosen, "tx_id", "is_fraud"), "model-table", spread=True)
 
 
 @query
@@ -628,7 +628,8 @@ def gbt_binary(spark, sf_dir):
 
 @query
 def rf_multiclass(spark, sf_dir):
-    _, tested = train_multiclass(src.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    vectors = materialise(src.table(spark, sf_dir, "embeddings"), "vectors", spread=True)
+    _, tested = train_multiclass(vectors, "vec_id", "embedding", "label")
     return tested
 
 
@@ -650,7 +651,7 @@ def feature_importance(spark, sf_dir):
 
 @query
 def score_batch(spark, sf_dir):
-    featured = materialise(ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK), "features")
+    featured = materialise(ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK), "features", spread=True)
     model, _ = train_fraud_model(featured)
     return model.score(featured).select(
         "tx_id", "isolation_score", "isolation_prediction", "rf_probability", "rf_prediction", "fraud_score",
@@ -745,7 +746,7 @@ def stream_alerts(spark, sf_dir):
 def stream_score(spark, sf_dir):
     ship_package(spark)
     batch = ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK)
-    model, _ = train_fraud_model(materialise(batch, "features"), trees=20)
+    model, _ = train_fraud_model(materialise(batch, "features", spread=True), trees=20)
     out, state = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-state")
     scored = model.score(_stream_features(spark, sf_dir)).select(
         "tx_id", "user_id", "ts", "amount", "isolation_score", "rf_probability", "fraud_score"

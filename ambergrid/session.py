@@ -70,16 +70,26 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, spread: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage with files that outlive an executor, and lets several
-    consumers share one computation.
+    consumers share one computation. With ``spread`` a result of few files is
+    written again in one file per core, for model fitting and Python stages;
+    larger results are left alone.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def store(rows: DataFrame) -> DataFrame:
+        path = scratch_path(spark, tag)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    written = store(df)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and written.rdd.getNumPartitions() < cores and plan_bytes(written) < cores << 27:
+        return store(written.repartition(cores))
+    return written
 
 
 def plan_bytes(df: DataFrame) -> int:

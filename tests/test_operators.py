@@ -13,6 +13,7 @@ from ambergrid.operators import features as ft
 from ambergrid.operators import mapping
 from ambergrid.operators import monitoring as mon
 from ambergrid.operators import prepare as prep
+from ambergrid.session import Limits
 from ambergrid.sources import tables as src
 from ambergrid.sources.synthetic import synthetic_transactions
 from conftest import SF, SF_SMALL
@@ -42,8 +43,6 @@ def edge(spark):
 
 @pytest.fixture(scope="module", params=["plain", "split"])
 def featured(request, edge, split_limits):
-    from ambergrid.session import Limits
-
     limits = Limits() if request.param == "plain" else Limits(small_bytes=-1, hot_rows=1, max_hot=100)
     return {r["tx_id"]: r for r in ft.transaction_features(edge, limits=limits).collect()}
 
@@ -112,10 +111,10 @@ def test_drop_nulls_drops_nan_too(spark):
 
 
 @pytest.mark.parametrize("share", [0.2, 0.25, 0.3])
-def test_random_split_is_exact_and_repeatable(spark, share):
+def test_random_split_is_exact_and_repeatable(spark, share, split_limits):
     tx = src.transactions(spark, SF_SMALL).select("tx_id")
     first = prep.random_split(tx, "tx_id", share)
-    second = prep.random_split(tx.repartition(5), "tx_id", share)
+    second = prep.random_split(tx.repartition(5), "tx_id", share, limits=split_limits)
     parts = prep.split_tables(first)
     assert parts["test"].count() == math.ceil(1000 * share) and first.count() == 1000
     assert sorted(first.collect()) == sorted(second.collect())
@@ -123,19 +122,26 @@ def test_random_split_is_exact_and_repeatable(spark, share):
     assert sorted(first.collect()) != sorted(other.collect())
 
 
-def test_stratified_split_keeps_the_shares(spark):
+def test_stratified_split_keeps_the_shares(spark, split_limits):
     tx = src.transactions(spark, SF).select("tx_id", "is_fraud")
-    counts = prep.stratified_split(tx, "tx_id", "is_fraud").groupBy("is_fraud", "split").count().collect()
+    split = prep.stratified_split(tx, "tx_id", "is_fraud")
+    counts = split.groupBy("is_fraud", "split").count().collect()
     found = {(r["is_fraud"], r["split"]): r["count"] for r in counts}
     for label in (0, 1):
         n = found[label, "test"] + found[label, "train"]
         assert found[label, "test"] == math.floor(0.2 * n + 0.5)
-
-
-def test_stratified_split_of_a_tiny_class(spark):
-    rows = spark.range(100).select(F.col("id").alias("k"), (F.col("id") < 2).cast("int").alias("y"))
-    counts = prep.stratified_split(rows, "k", "y").filter("split = 'test'").groupBy("y").count().collect()
-    assert {r["y"]: r["count"] for r in counts} == {0: 20}
+    large = prep.stratified_split(tx, "tx_id", "is_fraud", limits=split_limits)
+    columns = ["tx_id", "is_fraud", "split"]
+    assert sorted(split.select(columns).collect()) == sorted(large.select(columns).collect())
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(small_bytes=0)])
+def test_stratified_split_of_tiny_and_missing_classes(spark, limits):
+    k = F.col("id")
+    rows = spark.range(110).select(k.alias("k"), F.when(k < 100, (k < 2).cast("int")).alias("y"))
+    split = prep.stratified_split(rows, "k", "y", limits=limits)
+    counts = split.filter("split = 'test'").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in counts} == {0: 20} and split.count() == 110
 
 
 def test_scaling(spark):

@@ -3,10 +3,10 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ambergrid.operators import features as ft
+from ambergrid.operators import prepare as prep
 from ambergrid.session import Limits
 from ambergrid.sources import tables as src
 from conftest import SF
@@ -51,9 +51,11 @@ def test_topk_needs_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(contract.queries()["topk"](spark, SF))
 
 
-def test_splits_are_map_only(spark):
-    text = plan(contract.queries()["split_random"](spark, SF))
-    assert "BroadcastNestedLoopJoin" in text
+def test_splits_of_large_tables_are_map_only(spark, split_limits):
+    tx = src.transactions(spark, SF).select("tx_id", "is_fraud")
+    split = prep.stratified_split(tx, "tx_id", "is_fraud", limits=split_limits)
+    top = plan(split).split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in top and "hashpartitioning" not in top
 
 
 def test_statistics_aggregate_before_the_shuffle(spark):
