@@ -119,7 +119,8 @@ class IsolationForest:
             mixed = F.xxhash64(key, "tree", F.lit(seed))
             place = F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53))
             drawn = copies.filter(place < size * _SPARE / n)
-        drawn = drawn.withColumn("_order", F.xxhash64(key, "tree", F.lit(seed + 2)))
+        # Copies of one key collapse before the shuffle, so no tree's group can grow large.
+        drawn = drawn.dropDuplicates([key, "tree"]).withColumn("_order", F.xxhash64(key, "tree", F.lit(seed + 2)))
         limit = max(1, math.ceil(math.log2(max(size, 2))))
 
         def grow(group: pd.DataFrame) -> pd.DataFrame:

@@ -285,6 +285,10 @@ EXPECTED = {
         round(transitions, 2) AS transitions, storage, logs,
         round(compute + requests + transitions + storage + logs, 2) AS total FROM c""",
     "step_errors": f"WITH {RUNS} SELECT run_id, pipeline, step, error, start_ts AS ts FROM runs WHERE NOT success",
+    "step_runs_log": f"""WITH {TX}, d AS (SELECT * FROM tx WHERE ts >= '2024-01-15' AND ts < '2024-01-16')
+      SELECT 'run1' AS run_id, 'daily' AS pipeline, 'load' AS step, true AS success, NULL::VARCHAR AS error,
+        count(*) AS rows, true AS timed FROM d
+      UNION ALL SELECT 'run1', 'daily', 'stats', true, NULL, count(DISTINCT user_id), true FROM d""",
     "hourly_counts": f"""WITH {TX} SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n
       FROM tx GROUP BY 1, 2""",
     "map_items": f"""WITH {TX} SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS item_index,

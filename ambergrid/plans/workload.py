@@ -24,6 +24,7 @@ from ambergrid.operators.quantile import exact_quantile
 from ambergrid.plans.fraud import train_fraud_model
 from ambergrid.plans.multiclass import train_multiclass
 from ambergrid.plans.packaging import ship_package
+from ambergrid.plans.steplog import StepLog
 from ambergrid.registry import Registry, latest_entries, list_keys
 from ambergrid.session import materialise, scratch_path
 from ambergrid.sinks import append_alerts, append_metrics, write_report
@@ -586,6 +587,16 @@ def hourly_counts(spark, sf_dir):
     )
 
 
+@query
+def step_runs_log(spark, sf_dir):
+    log = StepLog(Registry(spark, scratch_path(spark, "registry")), "daily", "run1")
+    tx = log.run("load", src.load_day, src.transactions(spark, sf_dir).select("tx_id", "user_id", "ts", "amount"), DAY)
+    log.run("stats", ft.user_stats, tx)
+    return log.runs().select(
+        "run_id", "pipeline", "step", "success", "error", "rows", (F.col("duration_ms") >= 0).alias("timed")
+    )
+
+
 # -- parallel map ------------------------------------------------------------------
 
 

@@ -104,6 +104,16 @@ def test_isolation_forest_with_disjoint_samples(spark, planted):
     assert sum(r["far"] for r in top) >= 180
 
 
+def test_isolation_forest_with_many_copies_of_one_row(spark, planted):
+    copies = planted.unionByName(
+        spark.range(1000).select(F.lit(77).cast("long").alias("id"), F.lit(0.5).alias("a"), F.lit(0.5).alias("b"), F.lit(False).alias("far"))
+    )
+    model = IsolationForest.fit(copies, ["a", "b"], "id", trees=30)
+    assert len(model.trees) == 30 and model.transform(copies).count() == 3000
+    top = copies.select("far", model.anomaly(spark).alias("s")).orderBy(F.desc("s")).limit(10).collect()
+    assert all(r["far"] for r in top)
+
+
 def test_isolation_forest_on_few_and_constant_rows(spark):
     few = spark.range(3).select("id", F.lit(1.0).alias("a"))
     scores = IsolationForest.fit(few, ["a"], "id", trees=5).transform(few).collect()

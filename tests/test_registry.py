@@ -4,6 +4,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ambergrid.operators.monitoring import run_summary
+from ambergrid.plans.steplog import StepLog
 from ambergrid.registry import Registry
 from ambergrid.session import shared_dir
 from ambergrid.sinks import append_alerts, append_metrics, write_report
@@ -130,3 +132,16 @@ def test_report_and_metrics(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_step_log_keeps_successes_and_failures(registry, small):
+    log = StepLog(registry, "p", "r1")
+    doubled = log.run("load", lambda: small)
+    log.run("double", lambda df: df.withColumn("col2", F.col("col2") * 2), doubled)
+    with pytest.raises(Exception, match="nope"):
+        log.run("fail", lambda df: df.select(F.raise_error(F.lit("nope"))), doubled)
+    rows = {r["step"]: r for r in log.runs().collect()}
+    assert rows["load"]["rows"] == rows["double"]["rows"] == 3 and rows["double"]["success"]
+    assert not rows["fail"]["success"] and "nope" in rows["fail"]["error"] and rows["fail"]["rows"] is None
+    assert registry.load("double_result").agg(F.sum("col2")).first()[0] == 30.0
+    assert tuple(run_summary(log.runs()).first()) == ("r1", 2, 3, False)
