@@ -293,6 +293,8 @@ EXPECTED = {
       FROM tx GROUP BY 1, 2""",
     "map_items": f"""WITH {TX} SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS item_index,
       round(amount * 2, 6) AS doubled FROM tx""",
+    "model_roundtrip": "SELECT event_id AS tx_id, true AS same FROM events",
+    "model_registry": "SELECT 'models/forest' AS key, 'PipelineModel' AS model_type, 'risk' AS owner, 10::BIGINT AS trees",
     "stream_hourly": f"""WITH {TX}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)
       SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n, round(sum(amount), 6) AS amount
       FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -670,28 +671,36 @@ def score_batch(spark, sf_dir):
     )
 
 
-def _saved_forest(spark: SparkSession, sf_dir: str) -> tuple[Registry, DataFrame]:
-    registry = Registry(spark, scratch_path(spark, "registry"))
+def _small_forest(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
     rows = _model_table(spark, sf_dir)
-    model = fit_forest(rows.filter("split = 'train'"), _MODEL_COLUMNS, "is_fraud", trees=10, depth=5)
-    registry.save_model(model, "forest", {"owner": "risk"})
-    return registry, rows
+    return fit_forest(rows.filter("split = 'train'"), _MODEL_COLUMNS, "is_fraud", trees=10, depth=5), rows
 
 
 @query
 def model_roundtrip(spark, sf_dir):
-    registry, rows = _saved_forest(spark, sf_dir)
-    return with_probability(registry.load_model("forest"), rows).select("tx_id", "rf_probability", "rf_prediction")
+    """Whether the stored model gives every row the probability of the fitted one."""
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    model, rows = _small_forest(spark, sf_dir)
+    registry.save_model(model, "forest")
+    fitted = with_probability(model, rows, "fitted").drop(*[f"scaled_{c}" for c in _MODEL_COLUMNS])
+    both = with_probability(registry.load_model("forest"), fitted, "stored")
+    return both.select("tx_id", (F.col("fitted_probability") == F.col("stored_probability")).alias("same"))
 
 
 @query
 def model_registry(spark, sf_dir):
-    registry, _ = _saved_forest(spark, sf_dir)
-    registry.save_model(registry.load_model("forest"), "old")
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    model, _ = _small_forest(spark, sf_dir)
+    registry.save_model(model, "forest", {"owner": "risk"})
+    registry.save_model(model, "old")
     registry.delete_model("old")
     live = latest_entries(registry.entries()).filter(~F.col("deleted"))
+    trees = F.element_at("metadata", "2.RandomForestClassificationModel.numTrees").cast("long")
     return live.select(
-        "key", F.element_at("metadata", "model_type").alias("model_type"), F.element_at("metadata", "owner").alias("owner")
+        "key",
+        F.element_at("metadata", "model_type").alias("model_type"),
+        F.element_at("metadata", "owner").alias("owner"),
+        trees.alias("trees"),
     )
 
 

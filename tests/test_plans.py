@@ -65,7 +65,7 @@ def test_statistics_aggregate_before_the_shuffle(spark):
 
 @pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - {"map_items"}))
 def test_no_python_in_sql_checkable_plans(spark, name):
-    if name.startswith(("stream_", "ds_")):
+    if name.startswith(("stream_", "ds_", "model_")):
         pytest.skip("reads what a job has written")
     text = plan(contract.queries()[name](spark, SF))
     assert "Python" not in text and "InPandas" not in text
