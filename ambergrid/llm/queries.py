@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, language, licenses, pii
+from ambergrid.llm import extract, language, licenses, mixing, pii, quality
 from ambergrid.llm.common import table
 from ambergrid.plans.packaging import ship_package
 
@@ -52,13 +52,53 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", pii.pii_spans(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s.base)
-    counts = [
-        F.size(F.filter("found", lambda s, kind=kind: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
-        for kind in pii.BASE_KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(kind) for kind in pii.BASE_KINDS],
         F.sha2(pii.span_digest(base), 256).alias("base_sha256"),
         pii.span_digest(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+EXPECTED["op6_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+limits AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
+         3.0::DOUBLE * source_size AS most FROM sources),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER below, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
+  FROM limits WINDOW below AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+plan AS (
+  SELECT source, source_size,
+         least(most, weight * coalesce(min(CASE WHEN weight * level <= most THEN level END) OVER (), 'inf'::DOUBLE))::DOUBLE AS target
+  FROM levels),
+keyed AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target,
+         least(round(p.target)::BIGINT, 3 * p.source_size) AS budget,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR || ':' || s.size::VARCHAR), s.doc_id
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+          + least(size, greatest(0, budget % source_size - before)) END)::BIGINT AS taken
+FROM keyed
+"""
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
