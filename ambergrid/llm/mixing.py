@@ -52,8 +52,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = R
     ).withColumn("total", F.sum("source_size").over(every).cast("double"))
     level = (F.col("total") - F.col("limited")) / F.col("free")
     # the first source, in that order, whose limit is not reached sets the level of all behind it
-    fits = F.when(F.col("weight") * level <= F.col("most"), level)
-    table = table.withColumn("level", F.min(fits).over(every))
+    fits = F.when(
+        F.col("weight") * level <= F.col("most"),
+        F.struct((F.col("most") / F.col("weight")).alias("ratio"), F.col("place"), level.alias("level")),
+    )
+    table = table.withColumn("level", F.min(fits).over(every)["level"])
     return table.withColumn("target", F.least("most", F.col("weight") * F.coalesce("level", F.lit(float("inf"))))).select(
         "source_key", "source_size", "target"
     )

@@ -80,11 +80,12 @@ limits AS (
          3.0::DOUBLE * source_size AS most FROM sources),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER below, 0))
-            / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level,
+         row_number() OVER (ORDER BY most / weight, place) AS turn
   FROM limits WINDOW below AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 plan AS (
   SELECT source, source_size,
-         least(most, weight * coalesce(min(CASE WHEN weight * level <= most THEN level END) OVER (), 'inf'::DOUBLE))::DOUBLE AS target
+         least(most, weight * coalesce((SELECT arg_min(level, turn) FROM levels WHERE weight * level <= most), 'inf'::DOUBLE))::DOUBLE AS target
   FROM levels),
 keyed AS (
   SELECT s.doc_id, s.size, p.source_size, p.target,
