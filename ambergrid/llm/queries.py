@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, language, licenses, mixing, pii, quality
+from ambergrid.llm import extract, language, licenses, mixing, packing, pii, quality
 from ambergrid.llm.common import table
 from ambergrid.plans.packaging import ship_package
 
@@ -103,3 +104,9 @@ FROM keyed
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, ["doc_id"]).drop("ids")
