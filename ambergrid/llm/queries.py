@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, language, licenses, mixing, packing, pii, quality
+from ambergrid.llm import extract, jaccard, language, licenses, mixing, packing, pii, quality
 from ambergrid.llm.common import table
 from ambergrid.plans.packaging import ship_package
 
@@ -110,3 +110,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, ["doc_id"]).drop("ids")
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard.jaccard_groups(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
