@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, jaccard, language, licenses, mixing, packing, pii, quality
+from ambergrid.llm import extract, jaccard, language, licenses, mixing, packing, pii, quality, repeats
 from ambergrid.llm.common import table
 from ambergrid.plans.packaging import ship_package
 
@@ -116,3 +116,8 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard.jaccard_groups(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
