@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, jaccard, language, licenses, mixing, packing, pii, quality, repeats
+from ambergrid.llm import extract, jaccard, language, licenses, mixing, neardup, packing, pii, quality, repeats
 from ambergrid.llm.common import table
 from ambergrid.plans.packaging import ship_package
 
@@ -121,3 +121,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
