@@ -48,6 +48,14 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KE
     return df.join(keys, on, "left_semi")
 
 
+def filter_rows(docs: DataFrame, row_keys: DataFrame, key: str, keep: bool) -> DataFrame:
+    """Rows of ``docs`` whose hash of key and text is (or is not) among the written row keys."""
+    if row_keys.count() <= BROADCAST_KEYS:
+        row_keys = F.broadcast(row_keys)
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col(key), F.col("text")).alias("row_key"))
+    return named.join(row_keys, "row_key", "left_semi" if keep else "left_anti").select("doc.*")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b), both long and not NULL.
 

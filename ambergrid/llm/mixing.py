@@ -63,11 +63,12 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = R
 
 
 def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """Per row: key, size, source_size, target and taken (words the mix takes)."""
+    """Per row: key, row_key (hash of key and text), size, source_size, target and taken words."""
     identity = F.concat_ws(":", F.col(key).cast("string"), word_count(F.col("text")).cast("string"))
     digest = F.md5(F.when(F.col(key).isNull(), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))).otherwise(identity))
     rows = docs.select(
         F.col(key).alias("key"),
+        F.xxhash64(F.col(key), F.col("text")).alias("row_key"),
         "source",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"),
         word_count(F.col("text")).alias("size"),
@@ -123,6 +124,38 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS,
     outside = parted.where(~F.coalesce(at_cut, F.lit(False))).withColumn(
         "extra", F.when(F.col("piece") < F.col("cut_piece"), F.col("size")).otherwise(0)
     )
-    out = [F.col("key").alias(key), "size", "source_size", "target",
+    out = [F.col("key").alias(key), "row_key", "size", "source_size", "target",
            (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
     return inside.select(*out).unionByName(outside.select(*out))
+
+
+def take(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mix itself: each row as often as it is taken, the last time cut to the words left.
+
+    All columns are kept; a cut text is its first words joined by blanks, and ``n_chars``, if
+    present, follows it. Rows that are equal in key and text count as one row of their sum.
+    """
+    taken = mix(docs, key).groupBy("row_key").agg(
+        F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n")
+    )
+    taken = materialise(taken.where("taken > 0"), "taken")
+    row_key = F.xxhash64(F.col(key), F.col("text"))
+    if taken.where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates([key, "text"])
+    small = F.broadcast(taken) if taken.count() <= BROADCAST_KEYS else taken
+    # the joined columns live in one struct, so names of the input cannot clash
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), row_key.alias("row_key")).join(small, "row_key")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    start = F.array_join(F.slice(words(F.col("doc.text")), F.lit(1), left), " ")
+    cut = left < F.col("size")
+    out = []
+    for name in docs.columns:
+        value = F.col(f"doc.`{name}`")
+        if name == "text":
+            value = F.when(cut, start).otherwise(value)
+        elif name == "n_chars":
+            value = F.when(cut, F.length(start).cast(docs.schema[name].dataType)).otherwise(value)
+        out.append(value.alias(name))
+    return joined.select(*out)

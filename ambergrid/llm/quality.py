@@ -225,12 +225,13 @@ def concentrate(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, key: str = "doc_id", least: int = 100) -> DataFrame:
-    """Per row: key, the columns of BASE, the squared distance and kept.
+    """Per row: key, row_key (hash of key and text), the columns of BASE, the squared distance and kept.
 
     ``docs`` needs key, text, lang and source; other columns are ignored.
     """
     rows = docs.select(
         F.col(key).alias("key"),
+        F.xxhash64(F.col(key), F.col("text")).alias("row_key"),
         F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang_key"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"),
         *statistics(F.col("text")),
@@ -258,6 +259,7 @@ def quality(docs: DataFrame, key: str = "doc_id", least: int = 100) -> DataFrame
     far = F.coalesce(F.when(~F.col("base_failed"), distance()) > CUT, F.lit(False))
     return judged.select(
         F.col("key").alias(key),
+        "row_key",
         *BASE,
         F.when(~F.col("base_failed"), distance()).alias("distance"),
         (~F.col("base_failed") & ~far).alias("kept"),

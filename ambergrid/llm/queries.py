@@ -67,7 +67,7 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 EXPECTED["op6_mix_sources"] = r"""
@@ -103,7 +103,7 @@ FROM keyed
 
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @query
