@@ -5,9 +5,10 @@ class and only one member of each class is compared. A fixed sketch of all n-gra
 number of sets per hash range) orders the hashes from rare to common; the first
 ``size - ceil(t * size) + 1`` of a set are its prefix, and two sets that are similar enough
 share a prefix n-gram. Candidates are joined on prefix n-grams and pass length, positional
-and suffix filters. The suffix filter is a 512-bit parity sketch of the whole set: the bits
-in which two sketches differ are a lower bound of the sets' difference. What is left is
-verified once per pair on the whole sets.
+and suffix filters. The suffix filter compares parity sketches of the whole sets: the bits
+in which two sketches differ are a lower bound of the sets' difference. Short sketches
+travel with the candidates, wide ones are read for those that are left. What still may be
+similar is verified once per pair on the whole sets.
 
 Groups of near copies are not expanded into all pairs. First every set is compared with
 one pseudo-random leader per prefix n-gram, the most shared leader first; then only pairs
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambergrid.llm.common import components, keep_keys, map_arrow
+from ambergrid.llm.common import BROADCAST_KEYS, components, keep_keys, map_arrow
 from ambergrid.session import materialise
 
 RANGES = 1 << 16
+#: Words of 64 bits in the sketch that travels with candidates, and in the wide one.
 SKETCH_WORDS = 8
+WIDE_WORDS = 64
 #: Words whose hashes a worker keeps; the store starts anew beyond that.
 KEPT = 400_000
 FIRST = np.uint64(0x9E3779B97F4A7C15)
@@ -88,9 +91,9 @@ def ranked(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((ranks[(found >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | low)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
+def sketch(found: np.ndarray, size: int) -> np.ndarray:
     """Parity of the number of elements per cell, 64 cells to a word."""
-    odd = np.bincount((found & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((found & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -100,13 +103,14 @@ def _described(width: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = WordHashes(), np.frombuffer(shared.value, "<u2").astype(np.uint64)
         for batch in batches:
-            sizes, signs, bits, prefixes = [], [], [], []
+            sizes, signs, bits, wide, prefixes = [], [], [], [], []
             for text in batch["text"]:
                 found = ranked(shingles(text.as_py(), width, known), ranks)
                 size = len(found)
                 sizes.append(size)
                 signs.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bits.append(sketch(found))
+                bits.append(sketch(found, SKETCH_WORDS))
+                wide.append(sketch(found, WIDE_WORDS))
                 prefixes.append(found[: size + percent * -size // 100 + 1 if size else 0].view(np.int64))
             yield pa.record_batch(
                 [
@@ -114,9 +118,10 @@ def _described(width: int, percent: int, shared):
                     pa.array(sizes, pa.int64()),
                     pa.array(signs, pa.binary()),
                     pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["key", "row_key", "size", "sign", "bits", "prefix"],
+                ["key", "row_key", "size", "sign", "bits", "wide", "prefix"],
             )
 
     return run
@@ -174,7 +179,7 @@ class Join:
         described = map_arrow(
             self.texts,
             _described(width, percent, self.shared),
-            f"key {kind}, row_key long, size long, sign binary, bits array<long>, prefix array<long>",
+            f"key {kind}, row_key long, size long, sign binary, bits array<long>, wide array<long>, prefix array<long>",
         )
         self.rows = materialise(described.withColumn("row", F.monotonically_increasing_id()), "sets")
         heads = self.rows.where("size > 0").groupBy("sign").agg(
@@ -184,25 +189,43 @@ class Join:
         self.heads = materialise(heads, "classes")
         self.classes = keep_keys(self.rows, self.heads.select("row"), "row")
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose wide sketches allow them to be similar, numbered."""
+        nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
+        info = materialise(keep_keys(self.rows.select("row", "size", "wide"), nodes, "row"), "wide")
+        for side in ("a", "b"):
+            pairs = pairs.join(info.toDF(side, f"size_{side}", f"wide_{side}"), side)
+        differing = F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        apart = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
+        total = F.col("size_a") + F.col("size_b")
+        left = pairs.where(apart <= total - 2 * needed(self.percent, total)).select("a", "b")
+        return materialise(left.withColumn("pair", F.monotonically_increasing_id()), "plausible")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) of classes that are similar."""
-        names = self.heads.select("row", "sign", "head.key")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(names, "row")
-        wanted = materialise(wanted, "wanted")
-        keys = wanted.where("key is not null").select("key").distinct()
+        """Those of the distinct pairs (a, b) of classes that are similar.
+
+        The sets are made anew from the texts that are needed, and only sent to their pairs.
+        """
+        pairs = self.plausible(pairs)
+        ends = pairs.select(F.col("a").alias("row"), "pair", F.lit(True).alias("left")).union(
+            pairs.select(F.col("b").alias("row"), "pair", F.lit(False).alias("left"))
+        )
+        wanted = materialise(ends.join(self.heads.select("row", "sign", "head.key"), "row"), "wanted")
+        keys = materialise(wanted.where("key is not null").select("key").distinct(), "keys")
         texts = keep_keys(self.texts, keys, "key")
         if wanted.where("key is null").limit(1).count():
             texts = texts.union(self.texts.where("key is null"))
         sets = map_arrow(texts.select("text"), _sets(self.width, self.shared), "sign binary, items array<long>")
-        sets = materialise(sets.join(wanted.select("sign", "row"), "sign").select("row", "items"), "items")
-        one = sets.select(F.col("row").alias("a"), F.col("items").alias("items_a"))
-        two = sets.select(F.col("row").alias("b"), F.col("items").alias("items_b"))
-        both = pairs.select("a", "b").join(one, "a").join(two, "b")
-        common = F.size(F.array_intersect("items_a", "items_b"))
-        total = F.size("items_a") + F.size("items_b")
-        return materialise(
-            both.where(common * (100 + self.percent) >= total * self.percent).select("a", "b").distinct(), "links"
+        places = wanted.select("sign", "pair", "left")
+        if places.count() <= BROADCAST_KEYS:
+            places = F.broadcast(places)
+        sent = sets.join(places, "sign").groupBy("pair").agg(
+            F.first(F.when(F.col("left"), F.col("items")), ignorenulls=True).alias("x"),
+            F.first(F.when(~F.col("left"), F.col("items")), ignorenulls=True).alias("y"),
         )
+        common = F.size(F.array_intersect("x", "y"))
+        similar = common * (100 + self.percent) >= (F.size("x") + F.size("y")) * self.percent
+        return materialise(pairs.join(sent.where(similar).select("pair"), "pair", "left_semi").select("a", "b"), "links")
 
     def with_sketches(self, pairs: DataFrame) -> DataFrame:
         info = self.classes.select("row", "size", "bits")
