@@ -12,8 +12,8 @@ from ambergrid.session import materialise
 
 #: The white space that separates words, as a pattern class.
 SPACE = r"\x20\x09-\x0D"
-#: Keys up to this number may be broadcast for a semi join (about 100 MB hashed).
-BROADCAST_KEYS = 1_000_000
+#: Keys up to this number may be broadcast for a semi join (about 50 MB hashed).
+BROADCAST_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

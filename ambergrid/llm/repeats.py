@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     # copies of a text give equal occurrences, so only different ones count
     seen = F.xxhash64("digest", "place")
     grams = places.groupBy("gram").agg(F.min(seen).alias("x"), F.max(seen).alias("y")).where("x <> y").select("gram")
-    shared = places.join(grams, "gram", "left_semi").groupBy("digest", "place", "gram", "low", "high").count()
+    shared = keep_keys(places, materialise(grams, "grams"), "gram").groupBy("digest", "place", "gram", "low", "high").count()
     by_text = shared.groupBy("digest").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("anchors"))
     by_text = materialise(by_text, "anchors")
     wanted = texts.withColumn("digest", F.unhex(F.md5("text")))
