@@ -100,25 +100,33 @@ class IsolationForest:
     ) -> "IsolationForest":
         """Fit on a table whose rows are identified by ``key``.
 
-        Large tables give every tree its own rows; small ones are drawn from
-        once per tree. The sample depends on key hashes only.
+        Every tree takes every row with the same chance, whatever the size of the
+        table. A row's hash gives the first tree that takes it, if any does, and
+        further hashes those after it, so only taken rows are repeated. The sample
+        depends on key hashes only.
         """
         inputs = list(inputs)
         n = df.count()
         if n == 0:
             raise ValueError("cannot fit an isolation forest on an empty table")
         size = min(sample, n)
-        wanted = trees * size * _SPARE
+        chance = min(1.0, size * _SPARE / n)
         rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in inputs])
-        if n >= 2 * wanted:
-            drawn = rows.filter(uniform(key, seed, "draw") < wanted / n).withColumn(
-                "tree", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(trees)).cast("int")
+        if chance < 1.0:
+            # P(first tree <= k) = 1 - (1 - chance)^(k + 1), turned round
+            first = F.floor(F.log1p(-uniform(key, seed, "draw")) / F.lit(math.log1p(-chance))).cast("long")
+            mixed = rows.withColumn("_first", first).filter(F.col("_first") < trees)
+            later = F.filter(
+                F.sequence(F.lit(0), F.lit(trees - 1)),
+                lambda t: (t == F.col("_first"))
+                | (
+                    (t > F.col("_first"))
+                    & (F.shiftrightunsigned(F.xxhash64(F.col(key), t, F.lit(seed)), 11) / F.lit(float(1 << 53)) < chance)
+                ),
             )
+            drawn = mixed.withColumn("tree", F.explode(later)).drop("_first")
         else:
-            copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            mixed = F.xxhash64(key, "tree", F.lit(seed))
-            place = F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53))
-            drawn = copies.filter(place < size * _SPARE / n)
+            drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         # Copies of one key collapse before the shuffle, so no tree's group can grow large.
         drawn = drawn.dropDuplicates([key, "tree"]).withColumn("_order", F.xxhash64(key, "tree", F.lit(seed + 2)))
         limit = max(1, math.ceil(math.log2(max(size, 2))))

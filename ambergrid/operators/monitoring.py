@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ambergrid.functions.scalar import duration_ms
+from ambergrid.operators.pieces import null_safe_join
 from ambergrid.operators.quantile import grouped_quantile
 from ambergrid.session import DEFAULT_LIMITS, Limits
 
@@ -97,7 +98,7 @@ def metric_stats(
         F.avg("duration_ms").alias("avg_ms"),
     )
     tails = grouped_quantile(keyed, ["period", "step"], "duration_ms", p, "p99_ms", limits)
-    return totals.join(tails, ["period", "step"], "left")
+    return null_safe_join(totals, tails, ["period", "step"], "left")
 
 
 def resource_totals(runs: DataFrame) -> DataFrame:

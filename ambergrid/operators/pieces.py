@@ -53,7 +53,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT_LIMITS
     return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > threshold).drop("_all")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys where NULL is a key like any other; keeps the left key columns."""
     renamed = right.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -81,7 +81,7 @@ def _cuts(
     """
     if keys:
         hot = F.broadcast(hot_keys(df, keys, limits))
-        rows = _null_safe(df, hot, keys, "inner")
+        rows = null_safe_join(df, hot, keys, "inner")
     else:
         rows = df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
     rows = rows.withColumn("_drawn", F.rand(SEED) < F.lit(float(SAMPLE)) / F.col("_n"))
@@ -109,7 +109,7 @@ def _split(
         return df.withColumns({"_piece": F.lit(0), "_hot": nothing}), False
 
     if keys:
-        marked = _null_safe(df, F.broadcast(table), keys, "left")
+        marked = null_safe_join(df, F.broadcast(table), keys, "left")
     else:
         marked = df.crossJoin(F.broadcast(table))
     hot = F.col("_bounds").isNotNull()
@@ -174,7 +174,7 @@ def with_running_total(
         F.sum("_pw").over(by_key).alias("total"),
     )
     return (
-        _null_safe(marked, offsets, [*keys, "_piece"], "inner")
+        null_safe_join(marked, offsets, [*keys, "_piece"], "inner")
         .withColumn("before", F.col("_offset") + running)
         .drop("_w", "_piece", "_offset")
     )

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ambergrid.functions.scalar import flag, hash_order
 from ambergrid.operators.features import MODEL_FEATURES
 from ambergrid.operators.pieces import with_running_total
-from ambergrid.operators.quantile import order_statistic
-from ambergrid.session import DEFAULT_LIMITS, Limits, is_small
+from ambergrid.session import DEFAULT_LIMITS, Limits
 
 #: Default gap for a user's first transaction: one hour.
 FIRST_GAP_SECONDS = 3600.0
@@ -93,21 +93,17 @@ def _mark_test_rows(
     limits: Limits,
 ) -> DataFrame:
     """``name`` = 'test' for the first ``wanted(n)`` rows (per class) in hash order, else 'train'."""
-    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
-    if is_small(df, limits):
-        ranked = with_running_total(hashed, keys, "_h", F.lit(1), [key], limits)
-        is_test = F.col("before") < wanted(F.col("total"))
-        for k in keys:
-            is_test = is_test & F.col(k).isNotNull()
-        helpers = ["_h", "before", "total"]
-    else:
-        # Only the cut hash is looked up; marking the rows is then map-only.
-        cut = order_statistic(hashed, "_h", lambda n: wanted(n) - 1, keys)
-        cut = F.broadcast(cut.select(*keys, F.col("low").alias("_cut")))
-        ranked = hashed.join(cut, list(keys), "left") if keys else hashed.crossJoin(cut)
-        is_test = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-        helpers = ["_h", "_cut"]
-    return ranked.withColumn(name, F.when(is_test, "test").otherwise("train")).drop(*helpers)
+    # One rule at every size: rows in the order of the key's hash, equal keys by the hash of
+    # the whole row, which also places rows without a key. Equal rows are exchangeable.
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    whole = F.xxhash64(*hashable)
+    place = F.when(F.col(key).isNull(), hash_order(whole, seed)).otherwise(hash_order(F.col(key), seed))
+    hashed = df.withColumns({"_h": place, "_row": whole})
+    ranked = with_running_total(hashed, keys, "_h", F.lit(1), [key, "_row"], limits)
+    is_test = F.col("before") < wanted(F.col("total"))
+    for k in keys:
+        is_test = is_test & F.col(k).isNotNull()
+    return ranked.withColumn(name, F.when(is_test, "test").otherwise("train")).drop("_h", "_row", "before", "total")
 
 
 def random_split(
@@ -131,9 +127,10 @@ def stratified_split(
     name: str = "split",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """The same share of each class as test rows: round(share * n_class) of them."""
-    if not is_small(df, limits):
-        distinct_levels(df, label)  # proves that one cut per class can be broadcast
+    """The same share of each class as test rows: round(share * n_class) of them.
+
+    Any number of classes; rows without a class are training rows.
+    """
     return _mark_test_rows(df, key, [label], lambda n: F.round(n * F.lit(test_share)), seed, name, limits)
 
 
@@ -182,13 +179,6 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def with_class_weights(df: DataFrame, label: str, most: int = 1000) -> DataFrame:
-    """Attach the weights as literals; the number of classes is checked."""
-    rows = class_weights(df, label).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"label {label!r} has more than {most} classes")
-    chain = None
-    for row in rows:
-        test = F.col(label) == F.lit(row[label])
-        chain = F.when(test, row["weight"]) if chain is None else chain.when(test, row["weight"])
-    return df.withColumn("weight", chain if chain is not None else F.lit(1.0))
+def with_class_weights(df: DataFrame, label: str) -> DataFrame:
+    """Attach the weight of each row's class; rows without a class have none."""
+    return df.join(class_weights(df, label).select(label, "weight"), label, "left")

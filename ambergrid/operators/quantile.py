@@ -63,7 +63,7 @@ def order_statistic(
         F.col("_n").cast("double").alias("_n"),
     )
     margin = _margin(sample)
-    for _ in range(_passes(df, narrow_enough)):
+    for _ in range(_passes(values, narrow_enough)):
         drawn = inside & (F.rand(SEED) < F.lit(float(sample)) / F.col("_n"))
         found = attach(state).withColumn("_drawn", drawn).groupBy(*keys, "rank", "_lo", "_hi").agg(
             F.count_if(F.coalesce(x < lo, F.lit(False))).alias("_below"),
@@ -147,14 +147,14 @@ def grouped_quantile(
     name: str = "q",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Linear-interpolated quantile per key; any number of keys, any key size."""
+    """Linear-interpolated quantile per key; any number of keys, any key size.
+
+    Keys whose values are all NULL have NULL as their quantile.
+    """
     if is_small(df, limits):
         return df.groupBy(*keys).agg(F.percentile(column, F.lit(p)).cast("double").alias(name))
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    # NULL values stay as one row of weight 0 per key, behind all others
+    counts = df.groupBy(*keys, F.col(column).alias("_x")).agg(F.count(column).alias("_c"))
     ranked = with_running_total(counts, keys, "_x", F.col("_c"), (), limits)
     ranked = ranked.withColumn("rank", (F.col("total") - 1) * F.lit(p))
     upto = F.col("before") + F.col("_c")

@@ -130,7 +130,7 @@ EXPECTED = {
         max(TIMESTAMP '2024-01-15' + to_seconds(CASE WHEN rank >= 0 THEN rank * 30 ELSE event_id * 60 END)) AS last_ts
       FROM ids GROUP BY 1""",
     "ds_roundtrip": f"WITH {TX} SELECT tx_id, amount FROM tx",
-    "ds_step_result": f"WITH {TX} SELECT tx_id, amount FROM tx WHERE ts >= '2024-01-15' AND ts < '2024-01-16'",
+    "ds_step_result": f"WITH {TX} SELECT tx_id, amount FROM tx",
     "ds_metadata": f"""WITH {TX}
       SELECT 'tx/amounts' AS key, count(*) AS rows, 'risk' AS owner, true AS has_bytes FROM tx
       UNION ALL SELECT 'tx/users', count(DISTINCT user_id), 'risk', true FROM tx""",
@@ -262,6 +262,9 @@ EXPECTED = {
     "run_status": f"""WITH {RUNS} SELECT pipeline, max(start_ts) AS last_run,
       round(avg(success::INT)::DOUBLE, 6) AS success_rate, round(avg(duration_ms), 6) AS avg_duration_ms
       FROM runs GROUP BY pipeline""",
+    "pipeline_status": f"""WITH {RUNS} SELECT pipeline, max(start_ts) AS last_run,
+      round(avg(success::INT)::DOUBLE, 6) AS success_rate, round(avg(duration_ms), 6) AS avg_duration_ms
+      FROM runs GROUP BY pipeline""",
     "step_status": f"""WITH {RUNS} SELECT pipeline, step, CAST(start_ts AS DATE) AS day,
       round(avg(duration_ms), 6) AS avg_duration_ms, count(*) AS runs FROM runs GROUP BY ALL""",
     "step_success": f"""WITH {RUNS} SELECT step, count(*) AS runs, count(*) FILTER (success) AS successes,
@@ -285,7 +288,7 @@ EXPECTED = {
         round(transitions, 2) AS transitions, storage, logs,
         round(compute + requests + transitions + storage + logs, 2) AS total FROM c""",
     "step_errors": f"WITH {RUNS} SELECT run_id, pipeline, step, error, start_ts AS ts FROM runs WHERE NOT success",
-    "step_runs_log": f"""WITH {TX}, d AS (SELECT * FROM tx WHERE ts >= '2024-01-15' AND ts < '2024-01-16')
+    "step_runs_log": f"""WITH {TX}, d AS (SELECT * FROM tx)
       SELECT 'run1' AS run_id, 'daily' AS pipeline, 'load' AS step, true AS success, NULL::VARCHAR AS error,
         count(*) AS rows, true AS timed FROM d
       UNION ALL SELECT 'run1', 'daily', 'stats', true, NULL, count(DISTINCT user_id), true FROM d""",

@@ -32,7 +32,7 @@ class StepLog:
             rows = self.registry.find(f"{step}_result")["rows"]
             return result
         except Exception as failure:
-            error = f"{type(failure).__name__}: {failure}".splitlines()[0]
+            error = f"{type(failure).__name__}: {failure}"
             raise
         finally:
             end = datetime.now(timezone.utc)

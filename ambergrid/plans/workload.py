@@ -139,8 +139,7 @@ def ds_roundtrip(spark, sf_dir):
 @query
 def ds_step_result(spark, sf_dir):
     registry = Registry(spark, scratch_path(spark, "registry"))
-    day = src.load_day(src.transactions(spark, sf_dir), DAY)
-    return registry.save_step_result("load", day.select("tx_id", "amount"))
+    return registry.save_step_result("load", src.transactions(spark, sf_dir).select("tx_id", "amount"))
 
 
 @query
@@ -539,6 +538,11 @@ def run_summary(spark, sf_dir):
     return mon.run_summary(src.step_runs(spark, sf_dir))
 
 
+@query
+def pipeline_status(spark, sf_dir):
+    return neat(mon.pipeline_status(src.step_runs(spark, sf_dir)))
+
+
 @query
 def run_status(spark, sf_dir):
     return neat(mon.pipeline_status(src.step_runs(spark, sf_dir)))
@@ -591,7 +595,8 @@ def hourly_counts(spark, sf_dir):
 @query
 def step_runs_log(spark, sf_dir):
     log = StepLog(Registry(spark, scratch_path(spark, "registry")), "daily", "run1")
-    tx = log.run("load", src.load_day, src.transactions(spark, sf_dir).select("tx_id", "user_id", "ts", "amount"), DAY)
+    every = src.transactions(spark, sf_dir).select("tx_id", "user_id", "ts", "amount")
+    tx = log.run("load", lambda rows: rows, every)
     log.run("stats", ft.user_stats, tx)
     return log.runs().select(
         "run_id", "pipeline", "step", "success", "error", "rows", (F.col("duration_ms") >= 0).alias("timed")

@@ -52,23 +52,38 @@ class Registry:
     def entries(self) -> DataFrame:
         """Every save and deletion so far."""
         try:
-            return self.spark.read.schema(ENTRY_SCHEMA).parquet(self._log)
+            return self.spark.read.schema(ENTRY_SCHEMA).parquet(self._folder())
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
 
+    def _folder(self) -> str:
+        """The folder of the log: the one that the newest pointer names, if there is one."""
+        try:
+            newest = self.spark.read.schema("path string, at long").parquet(f"{self._log}_pointer")
+            return newest.orderBy(F.desc("at")).first()["path"]
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self._log
+
     def _append(self, rows: Sequence[Mapping]) -> None:
         names = [part.split()[0] for part in ENTRY_SCHEMA.replace("map<string,string>", "map").split(", ")]
         data = [tuple(row.get(n) for n in names) for row in rows]
-        self.spark.createDataFrame(data, ENTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
+        self.spark.createDataFrame(data, ENTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self._folder())
 
     def compact(self) -> None:
-        """Rewrite the registry to its newest rows; not for use while others write."""
-        rows = latest_entries(self.entries()).filter(~F.col("deleted"))
-        fresh = f"{self.root}/_registry_compact-{time.time_ns()}"
-        rows.coalesce(1).write.parquet(fresh)
-        self.spark.read.schema(ENTRY_SCHEMA).parquet(fresh).coalesce(1).write.mode("overwrite").parquet(self._log)
+        """Gather the small files of the log in a new folder, all versions and tombstones included.
+
+        The pointer moves after the folder is complete, so a crash leaves the old log in
+        use. Not for use while others write.
+        """
+        now = time.time_ns()
+        fresh = f"{self._log}-{now}"
+        self.entries().coalesce(1).write.parquet(fresh)
+        pointer = self.spark.createDataFrame([(fresh, now)], "path string, at long")
+        pointer.coalesce(1).write.mode("append").parquet(f"{self._log}_pointer")
 
     def _entry(self, key: str, kind: str, run_id: str, **fields) -> dict:
         metadata = {k: str(v) for k, v in (fields.pop("metadata", None) or {}).items()}
@@ -224,5 +239,5 @@ def describe_model(model) -> dict[str, str]:
         else:
             values = {k: str(v) for k, v in getattr(stage, "params", {}).items()}
         prefix = f"{i}.{type(stage).__name__}." if hasattr(model, "stages") else "param."
-        found.update({prefix + k: v for k, v in values.items() if len(v) <= 200})
+        found.update({prefix + k: v for k, v in values.items()})
     return found

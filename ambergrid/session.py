@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _local_dirs: dict[str, str] = {}
 
@@ -97,5 +98,25 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes that Spark assumes for one row in memory."""
+    return 8 + sum(_width(f.dataType) for f in df.schema.fields)
+
+
+def _width(kind: DataType) -> int:
+    if isinstance(kind, (StringType, BinaryType)):
+        return 20
+    if isinstance(kind, (ArrayType, MapType)):
+        return 100
+    if isinstance(kind, StructType):
+        return sum(_width(f.dataType) for f in kind.fields)
+    return 8
+
+
 def is_small(df: DataFrame, limits: Limits) -> bool:
-    return plan_bytes(df) <= limits.small_bytes
+    """Whether all rows fit one task: by their counted number, as files may be packed tightly."""
+    if plan_bytes(df) > limits.small_bytes:
+        return False
+    most = limits.small_bytes // row_bytes(df)
+    counted = df.limit(most + 1) if most < 1 << 30 else df
+    return counted.count() <= most

@@ -117,14 +117,18 @@ def load_day(tx: DataFrame, day: str | Date | None = None) -> DataFrame:
     """Transactions of one day (today when not given), as a range the scan can prune by."""
     day = str(day or Date.today())
     start = F.lit(day).cast("date").cast("timestamp_ntz")
-    return tx.filter((F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 1 DAY")))
+    found = tx.filter((F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 1 DAY")))
+    return found.filter(F.col("dt") == F.lit(day).cast("date")) if "dt" in tx.columns else found
 
 
 def load_last_hour(tx: DataFrame, as_of: str | datetime | None = None) -> DataFrame:
     """Transactions of the last full hour before ``as_of`` (now when not given)."""
     as_of = str(as_of or datetime.now())
     end = F.date_trunc("HOUR", F.lit(as_of).cast("timestamp_ntz")).cast("timestamp_ntz")
-    return tx.filter((F.col("ts") >= end - F.expr("INTERVAL 1 HOUR")) & (F.col("ts") < end))
+    start = end - F.expr("INTERVAL 1 HOUR")
+    found = tx.filter((F.col("ts") >= start) & (F.col("ts") < end))
+    # the hour before midnight lies in the day before, so the folder is that of its start
+    return found.filter(F.col("dt") == start.cast("date")) if "dt" in tx.columns else found
 
 
 def write_by_day(tx: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from ambergrid.operators.alerts import STREAM_ALERT_ABOVE, alert_reason
 from ambergrid.operators.features import MERCHANT_RISK, point_features, user_stats, with_time_since_last
 from ambergrid.operators.pieces import salted_left_join
 from ambergrid.operators.quantile import exact_quantile
-from ambergrid.session import DEFAULT_LIMITS, Limits
+from ambergrid.session import DEFAULT_LIMITS, Limits, materialise
 from ambergrid.streaming.common import for_each_batch
 
 LATENESS = "10 minutes"
@@ -104,12 +104,15 @@ def time_since_last(tx: DataFrame) -> DataFrame:
     State is one timestamp per user; a micro-batch is bounded by the source's
     trigger limit, which bounds the rows a busy user brings at once.
     """
-    narrow = tx.select("user_id", "tx_id", "ts", micros(F.col("ts")).alias("us")).filter("user_id IS NOT NULL")
-    gaps = narrow.groupBy("user_id").applyInPandasWithState(
+    narrow = tx.select("user_id", "tx_id", "ts", micros(F.col("ts")).alias("us"))
+    gaps = narrow.filter("user_id IS NOT NULL").groupBy("user_id").applyInPandasWithState(
         _gaps, _GAP_SCHEMA, "last_us long", "append", GroupStateTimeout.NoTimeout
     )
     # Arrow hands NaN back where there is no predecessor.
-    return gaps.withColumn("gap_seconds", F.when(~F.isnan("gap_seconds"), F.col("gap_seconds")))
+    known = gaps.withColumn("gap_seconds", F.when(~F.isnan("gap_seconds"), F.col("gap_seconds")))
+    # Rows without a user have no predecessor; they pass through without state.
+    nobody = narrow.filter("user_id IS NULL").select("user_id", "tx_id", "ts", F.lit(None).cast("double").alias("gap_seconds"))
+    return known.unionByName(nobody)
 
 
 def gap_batches(
@@ -133,7 +136,7 @@ def gap_batches(
             last = spark.createDataFrame([], last_schema)
         else:
             last = spark.read.schema(last_schema).parquet(f"{path}/last/slot={(batch_id - 1) % 2}")
-        rows = batch.select("user_id", "tx_id", "ts", micros(F.col("ts")).alias("us")).filter("user_id IS NOT NULL")
+        rows = materialise(batch.select("user_id", "tx_id", "ts", micros(F.col("ts")).alias("us")), "gap-batch")
         known = salted_left_join(rows, last, "user_id", "tx_id", limits)
         # Late rows leave the user's sequence: no gap, and no effect on later rows.
         fresh = F.col("last_us").isNull() | (F.col("us") >= F.col("last_us"))
@@ -146,7 +149,7 @@ def gap_batches(
             F.col("_who").alias("user_id"), "tx_id", "ts", gap.alias("gap_seconds")
         )
         gaps.write.mode("overwrite").parquet(f"{path}/gaps/batch_id={batch_id}")
-        newest = last.unionByName(rows.select("user_id", F.col("us").alias("last_us")))
+        newest = last.unionByName(rows.filter("user_id IS NOT NULL").select("user_id", F.col("us").alias("last_us")))
         newest.groupBy("user_id").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(
             f"{path}/last/slot={batch_id % 2}"
         )

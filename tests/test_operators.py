@@ -247,11 +247,20 @@ def test_generated_population(spark):
     assert ft.transaction_features(tx).filter("risk_score IS NOT NULL").count() > 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_partitioned_day_load(spark, tmp_path):
     tx = src.transactions(spark, SF_SMALL)
     src.write_by_day(tx, str(tmp_path / "tx"))
     stored = spark.read.parquet(str(tmp_path / "tx"))
     assert src.load_day(stored, "2024-01-15").count() == src.load_day(tx, "2024-01-15").count() > 0
+    for as_of, days in (("2024-01-15 12:30:00", "2024-01-15"), ("2024-01-16 00:10:00", "2024-01-15")):
+        hour = src.load_last_hour(stored, as_of)
+        assert hour.count() == src.load_last_hour(tx, as_of).count()
+        assert f"PartitionFilters: [isnotnull(dt" in plan_of(hour) and days in plan_of(hour)
+    assert "PartitionFilters: [isnotnull(dt" in plan_of(src.load_day(stored, "2024-01-15"))
 
 
 def test_sorted_output_is_sorted(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ambergrid.operators import features as ft
+from ambergrid.operators import prepare as prep
 from ambergrid.operators.evaluate import roc_auc
 from ambergrid.operators.pieces import hot_keys, salted_left_join, with_pieces, with_row_number, with_running_total
 from ambergrid.operators.quantile import exact_quantile, grouped_quantile, order_statistic
@@ -109,9 +110,11 @@ def test_order_statistic_per_class(skewed):
 
 
 def test_grouped_quantile(skewed, split_limits):
-    plain = grouped_quantile(skewed, ["user_id"], "amount", 0.99, "q", Limits(small_bytes=1 << 62))
-    split = grouped_quantile(skewed, ["user_id"], "amount", 0.99, "q", split_limits)
-    assert rows(plain.filter("q IS NOT NULL"), "user_id", F.round("q", 6)) == rows(split, "user_id", F.round("q", 6))
+    none = skewed.withColumn("amount", F.when(F.col("user_id") % 5 != 0, F.col("amount")))
+    for table in (skewed, none):
+        plain = grouped_quantile(table, ["user_id"], "amount", 0.99, "q", Limits(small_bytes=1 << 62))
+        split = grouped_quantile(table, ["user_id"], "amount", 0.99, "q", split_limits)
+        assert rows(plain, "user_id", F.round("q", 6)) == rows(split, "user_id", F.round("q", 6))
 
 
 def test_quantile_of_nothing_is_null(skewed):
@@ -146,3 +149,30 @@ def test_results_do_not_depend_on_partitioning(spark, split_limits):
     one = ft.transaction_features(tx, ft.EVENT_RISK, split_limits)
     two = ft.transaction_features(other, ft.EVENT_RISK, split_limits)
     assert rows(one, *columns) == rows(two, *columns)
+
+
+@pytest.mark.parametrize("keys", ["repeated", "half NULL"])
+def test_splits_follow_one_rule(spark, split_limits, keys):
+    key = F.col("id") % 10 if keys == "repeated" else F.when(F.col("id") % 2 == 0, F.col("id"))
+    table = spark.range(1003).select(key.alias("k"), F.col("id").alias("v"), (F.col("id") % 3).alias("y"))
+    plain = prep.random_split(table, "k", 0.25)
+    split = prep.random_split(table.repartition(5), "k", 0.25, limits=split_limits)
+    assert rows(plain, "k", "v", "split") == rows(split, "k", "v", "split")
+    assert split.filter("split = 'test'").count() == 251
+    plain = prep.stratified_split(table, "k", "y", 0.2)
+    split = prep.stratified_split(table.repartition(5), "k", "y", 0.2, limits=split_limits)
+    assert rows(plain, "k", "v", "split") == rows(split, "k", "v", "split")
+
+
+def test_splits_take_many_classes(spark, split_limits):
+    table = spark.range(6000).select("id", (F.col("id") % 1500).alias("y"))
+    for limits in (Limits(), split_limits):
+        assert prep.stratified_split(table, "id", "y", 0.25, limits=limits).filter("split = 'test'").count() == 1500
+
+
+def test_packed_files_are_not_small(spark, tmp_path):
+    from ambergrid.session import is_small, plan_bytes
+
+    spark.range(4_000_000).select(F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b")).write.parquet(str(tmp_path / "t"))
+    packed = spark.read.parquet(str(tmp_path / "t"))
+    assert plan_bytes(packed) < 8 << 20 and not is_small(packed, Limits(small_bytes=8 << 20))

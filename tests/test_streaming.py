@@ -182,3 +182,19 @@ def test_replayed_batch_overwrites_itself(spark, feed, tmp_path):
         except Exception as error:
             assert "lost after the write" in str(error)
     assert spark.read.parquet(out).count() == 800
+
+
+def test_rows_without_a_user_pass_through(spark, tmp_path):
+    events = src.table(spark, SF_SMALL, "events")
+    nobody = events.withColumn("user_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id")))
+    nobody.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = common.event_stream(spark, str(tmp_path / "events"))
+    gaps = jobs.time_since_last(stream)
+    run(common.write_stream(gaps, str(tmp_path / "keyed"), str(tmp_path / "keyed-state")))
+    run(jobs.gap_batches(common.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "bulk"), str(tmp_path / "bulk-state")))
+    batch = ft.with_time_since_last(src.events_as_transactions(nobody))
+    expected = sorted((r[0], r[1]) for r in batch.select("tx_id", "time_since_last_transaction").collect())
+    keyed = spark.read.schema(gaps.schema).parquet(str(tmp_path / "keyed"))
+    bulk = spark.read.parquet(str(tmp_path / "bulk" / "gaps"))
+    for found in (keyed, bulk):
+        assert sorted((r[0], r[1]) for r in found.select("tx_id", "gap_seconds").collect()) == expected
