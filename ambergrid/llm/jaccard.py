@@ -277,14 +277,10 @@ class Join:
         named = materialise(named, "named")
         mixed = named.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
         kept = named.join(mixed.select("token"), "token", "left_semi")
-        kept = kept.join(self.classes.select(F.col("row").alias("node"), "bits"), "node")
-        # lengths in bands: a similar longer set lies in the same band or the next
-        kept = kept.withColumn("band", F.floor(F.log(F.col("size")) / float(np.log(100 / percent))))
-        columns = ["token", "band", "node", "size", "place", "group", "bits"]
-        shorter = kept.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
-            "token", "band", *[F.col(c).alias(f"{c}_a") for c in columns[2:]]
-        )
-        longer = kept.select("token", "band", *[F.col(c).alias(f"{c}_b") for c in columns[2:]])
+        kept = materialise(kept.join(self.classes.select(F.col("row").alias("node"), "bits"), "node"), "mixed")
+        # both sides are one exchange under two names; lengths are compared inside the join
+        shorter = kept.select("token", *[F.col(c).alias(f"{c}_a") for c in kept.columns if c != "token"])
+        longer = kept.select("token", *[F.col(c).alias(f"{c}_b") for c in kept.columns if c != "token"])
         ordered = F.struct("size_a", "node_a") < F.struct("size_b", "node_b")
         reach = (
             F.least("place_a", "place_b")
@@ -294,7 +290,7 @@ class Join:
         )
         enough = reach >= needed(percent, F.col("size_a") + F.col("size_b"))
         apart = F.col("group_a") != F.col("group_b")
-        pairs = shorter.join(longer, ["token", "band"]).where(apart & ordered & enough & possible(percent))
+        pairs = shorter.join(longer, "token").where(apart & ordered & enough & possible(percent))
         return pairs.select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
         ).distinct()
