@@ -10,6 +10,12 @@ TX = """tx AS (
     CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 2 THEN 1 ELSE 0 END AS is_fraud
   FROM events)"""
 
+#: The transactions that the stratified split leaves for testing.
+TEST_ROWS = f"""WITH {TX}, h AS (SELECT tx_id,
+    row_number() OVER (PARTITION BY is_fraud ORDER BY substr(md5(tx_id || '42'), 1, 15)) AS rn,
+    count(*) OVER (PARTITION BY is_fraud) AS n FROM tx),
+  test AS (SELECT tx_id FROM h WHERE rn <= round(n * 0.2::DOUBLE))"""
+
 RUNS = """runs AS (
   SELECT CAST(user_id AS VARCHAR) AS run_id, 'p' || (user_id % 3) AS pipeline, event_type AS step,
     (event_type <> 'error' OR value < 50) AS success,
@@ -296,6 +302,19 @@ EXPECTED = {
       FROM tx GROUP BY 1, 2""",
     "map_items": f"""WITH {TX} SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS item_index,
       round(amount * 2, 6) AS doubled FROM tx""",
+    "rf_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided FROM test",
+    "gbt_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided FROM test",
+    "rf_multiclass": """WITH h AS (SELECT vec_id, label,
+        row_number() OVER (ORDER BY substr(md5(vec_id || '42'), 1, 15)) AS rn, count(*) OVER () AS n FROM embeddings)
+      SELECT vec_id, CAST(label AS BIGINT) AS label, true AS known FROM h WHERE rn <= ceil(n * 0.3::DOUBLE)""",
+    "iforest": f"WITH {TX} SELECT tx_id, true AS in_range, true AS decided FROM tx",
+    "feature_importance": f"""WITH {TX} SELECT unnest(['amount', 'amount_log', 'amount_zscore', 'hour', 'day_of_week',
+        'is_weekend', 'is_night', 'user_avg_amount', 'user_std_amount', 'user_transaction_count',
+        'time_since_last_transaction', 'velocity_flag', 'merchant_risk_score', 'high_amount_flag',
+        'micro_transaction_flag', 'risky_hour_flag', 'risk_score']) AS feature, true AS in_range, true AS sums_to_one
+      UNION ALL SELECT DISTINCT 'payment_' || channel, true, true FROM tx""",
+    "score_batch": f"WITH {TX} SELECT tx_id, true AS in_range, true AS weighted, true AS flagged FROM tx",
+    "stream_score": f"WITH {TX} SELECT tx_id, true AS in_range, true AS weighted, true AS flagged FROM tx",
     "model_roundtrip": "SELECT event_id AS tx_id, true AS same FROM events",
     "model_registry": "SELECT 'models/forest' AS key, 'PipelineModel' AS model_type, 'risk' AS owner, 10::BIGINT AS trees",
     "stream_hourly": f"""WITH {TX}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)

@@ -13,7 +13,6 @@ import time
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -51,22 +50,21 @@ class Registry:
 
     def entries(self) -> DataFrame:
         """Every save and deletion so far."""
-        try:
-            return self.spark.read.schema(ENTRY_SCHEMA).parquet(self._folder())
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        folder = self._folder()
+        if not self._there(folder):
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
+        return self.spark.read.schema(ENTRY_SCHEMA).parquet(folder)
 
     def _folder(self) -> str:
         """The folder of the log: the one that the newest pointer names, if there is one."""
-        try:
-            newest = self.spark.read.schema("path string, at long").parquet(f"{self._log}_pointer")
-            return newest.orderBy(F.desc("at")).first()["path"]
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if not self._there(f"{self._log}_pointer"):
             return self._log
+        newest = self.spark.read.schema("path string, at long").parquet(f"{self._log}_pointer")
+        return newest.orderBy(F.desc("at")).first()["path"]
+
+    def _there(self, path: str) -> bool:
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return name.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(name)
 
     def _append(self, rows: Sequence[Mapping]) -> None:
         names = [part.split()[0] for part in ENTRY_SCHEMA.replace("map<string,string>", "map").split(", ")]
