@@ -35,7 +35,7 @@ FLOORS = {"length": 0.10, "symbols": 0.08, "lines": 0.25, "repeats": 0.20}
 #: Share of the rows that the estimate concentrates on.
 CORE = 0.75
 #: Probability beyond which a distance is an outlier.
-TAIL = 1e-6
+TAIL = 1e-3
 STEPS = 4
 UNIT = 1000.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
