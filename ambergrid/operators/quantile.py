@@ -134,11 +134,6 @@ def exact_quantile(
     return ranks.select(value.cast("double").alias(name)).agg(F.max(name).alias(name))
 
 
-def approx_quantile(df: DataFrame, column: str, p: float, name: str = "q", accuracy: int = 10_000) -> DataFrame:
-    """One-pass sketch quantile for callers that can take a rank error of 1/accuracy."""
-    return df.agg(F.percentile_approx(column, p, accuracy).cast("double").alias(name))
-
-
 def grouped_quantile(
     df: DataFrame,
     keys: Sequence[str],

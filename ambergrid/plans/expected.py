@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ambergrid.operators import alerts as al
 
 TX = """tx AS (
   SELECT event_id AS tx_id, user_id, ts, value AS amount, event_type AS category,
@@ -85,19 +84,13 @@ latest AS (
   WHERE rn = 1)"""
 
 
-def _text(template: str) -> str:
-    return template.replace("'", "''")
-
-
-_AMOUNT_PRE, _AMOUNT_POST = al.REASON_AMOUNT.split("%s")
-_HOUR_PRE, _HOUR_POST = al.REASON_HOUR.split("%d")
-_MERCHANT_PRE, _MERCHANT_POST = al.REASON_MERCHANT.split("%s")
-REASON = f"""coalesce(nullif(concat_ws(' | ',
-    CASE WHEN velocity_flag = 1 THEN '{_text(al.REASON_VELOCITY)}' END,
-    CASE WHEN high_amount_flag = 1 THEN '{_text(_AMOUNT_PRE)}' || printf('%.2f', amount) || '{_AMOUNT_POST}' END,
-    CASE WHEN risky_hour_flag = 1 THEN '{_HOUR_PRE}' || hour || '{_HOUR_POST}' END,
-    CASE WHEN merchant_risk_score >= 3 THEN '{_text(_MERCHANT_PRE)}' || category || '{_MERCHANT_POST}' END,
-    CASE WHEN amount_zscore > 3 THEN '{_text(al.REASON_ZSCORE)}' END), ''), '{_text(al.REASON_UNKNOWN)}')"""
+# The texts are written out, so that a wrong constant of the library shows.
+REASON = """coalesce(nullif(concat_ws(' | ',
+    CASE WHEN velocity_flag = 1 THEN 'Transaction trop rapide' END,
+    CASE WHEN high_amount_flag = 1 THEN 'Montant anormalement élevé ($' || printf('%.2f', amount) || ')' END,
+    CASE WHEN risky_hour_flag = 1 THEN 'Heure suspecte (' || hour || 'h)' END,
+    CASE WHEN merchant_risk_score >= 3 THEN 'Merchant à risque (' || category || ')' END,
+    CASE WHEN amount_zscore > 3 THEN 'Montant très différent du comportement habituel' END), ''), 'Pattern anormal détecté')"""
 
 ALERT_RULES = """rules(step, limit_ms, on_error) AS (VALUES
   ('click', 10000.0::DOUBLE, true), ('view', 60000.0::DOUBLE, true), ('purchase', 150000.0::DOUBLE, false),

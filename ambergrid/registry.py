@@ -23,6 +23,8 @@ ENTRY_SCHEMA = (
     "saved_at timestamp, rows long, size_bytes long, schema string, columns array<string>, "
     "metadata map<string,string>"
 )
+#: Modules whose models may be loaded beside those of Spark ML.
+LOADABLE = ("ambergrid.models.isolation",)
 MODEL_PREFIX = "models/"
 TABLE_PREFIX = "dataframes/"
 
@@ -213,6 +215,8 @@ class Registry:
                 return PipelineModel.load(entry["path"])
             return DefaultParamsReader.loadParamsInstance(entry["path"], self.spark)
         module, _, kind = entry["format"].rpartition(".")
+        if module not in LOADABLE:
+            raise ValueError(f"no model of a known kind: {entry['format']}")
         return getattr(__import__(module, fromlist=[kind]), kind).load(self.spark, entry["path"])
 
     def list_models(self) -> list[str]:

@@ -35,7 +35,3 @@ def write_report(report: DataFrame, path: str) -> None:
 def append_metrics(metrics: DataFrame, path: str, stage: str = "dev", unit: str = "Count") -> None:
     """Long metric rows (…, metric, value) with their unit and stage."""
     metrics.withColumns({"unit": F.lit(unit), "stage": F.lit(stage)}).write.mode("append").parquet(path)
-
-
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ambergrid.functions.scalar import flag, micros
-from ambergrid.operators.alerts import STREAM_ALERT_ABOVE, alert_reason
+from ambergrid.operators.alerts import STREAM_ALERT_ABOVE
 from ambergrid.operators.features import MERCHANT_RISK, point_features, user_stats, with_time_since_last
 from ambergrid.operators.pieces import salted_left_join
 from ambergrid.operators.quantile import exact_quantile
@@ -180,7 +180,3 @@ def alert_stream(
                 on_alert(batch_id, rows)
 
     return for_each_batch(found, write, checkpoint, every)
-
-
-def with_reason(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("reason", alert_reason())
