@@ -133,10 +133,12 @@ def _sets(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = WordHashes(), np.frombuffer(shared.value, "<u2").astype(np.uint64)
         for batch in batches:
-            found = [ranked(shingles(t.as_py(), width, known), ranks) for t in batch["text"]]
-            signs = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
-            sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(signs, pa.binary()), sets], ["sign", "items"])
+            for start in range(0, len(batch), 256):  # few sets at a time, as they may be large
+                texts = batch["text"].slice(start, 256)
+                found = [ranked(shingles(t.as_py(), width, known), ranks) for t in texts]
+                signs = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
+                sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(signs, pa.binary()), sets], ["sign", "items"])
 
     return run
 
