@@ -68,8 +68,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         # every node links its larger (large) or smaller neighbours to its minimum
-        lows = pairs.groupBy("u").agg(F.min("v").alias("low"))
-        joined = pairs.join(lows.withColumn("low", F.least("u", "low")), "u")
+        lows = pairs.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
+        # written, so that the join is a broadcast of few rows or a shuffle that can split a hub
+        lows = materialise(lows, "lows")
+        joined = pairs.join(F.broadcast(lows) if lows.count() <= BROADCAST_KEYS else lows, "u")
         if large:
             joined = joined.where("v > u")
             return joined.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
