@@ -38,7 +38,7 @@ RANGES = 1 << 16
 SKETCH_WORDS = 8
 WIDE_WORDS = 64
 #: Words whose hashes a worker keeps; the store starts anew beyond that.
-KEPT = 400_000
+KEPT = 100_000
 FIRST = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -102,27 +102,30 @@ def _described(width: int, percent: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = WordHashes(), np.frombuffer(shared.value, "<u2").astype(np.uint64)
-        for batch in batches:
-            sizes, signs, bits, wide, prefixes = [], [], [], [], []
-            for text in batch["text"]:
-                found = ranked(shingles(text.as_py(), width, known), ranks)
-                size = len(found)
-                sizes.append(size)
-                signs.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bits.append(sketch(found, SKETCH_WORDS))
-                wide.append(sketch(found, WIDE_WORDS))
-                prefixes.append(found[: size + percent * -size // 100 + 1 if size else 0].view(np.int64))
-            yield pa.record_batch(
-                [
-                    *[batch[c] for c in ("key", "row_key")],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(signs, pa.binary()),
-                    pa.array(bits, pa.list_(pa.int64())),
-                    pa.array(wide, pa.list_(pa.int64())),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                ["key", "row_key", "size", "sign", "bits", "wide", "prefix"],
-            )
+        for whole in batches:
+            for start in range(0, len(whole), 256):  # few sets at a time, as they may be large
+                batch = whole.slice(start, 256)
+                sizes, signs, bits, wide, prefixes = [], [], [], [], []
+                for text in batch["text"]:
+                    found = ranked(shingles(text.as_py(), width, known), ranks)
+                    size = len(found)
+                    sizes.append(size)
+                    signs.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    bits.append(sketch(found, SKETCH_WORDS))
+                    wide.append(sketch(found, WIDE_WORDS))
+                    prefix = found[: size + percent * -size // 100 + 1 if size else 0]
+                    prefixes.append(prefix.view(np.int64).copy())  # a view would keep the whole set
+                yield pa.record_batch(
+                    [
+                        *[batch[c] for c in ("key", "row_key")],
+                        pa.array(sizes, pa.int64()),
+                        pa.array(signs, pa.binary()),
+                        pa.array(bits, pa.list_(pa.int64())),
+                        pa.array(wide, pa.list_(pa.int64())),
+                        pa.array(prefixes, pa.list_(pa.int64())),
+                    ],
+                    ["key", "row_key", "size", "sign", "bits", "wide", "prefix"],
+                )
 
     return run
 
