@@ -12,8 +12,10 @@ share. So no group is sorted or gathered, however many rows it has. Vectors are
 thousandths and sums are exact decimals, hence results do not depend on partitioning.
 
 Groups of fewer than ``least`` rows are pooled per language, and pools that are still
-small across languages. NULL languages and sources are groups of their own. A scale floor
-per statistic keeps groups without spread from rejecting ordinary texts.
+small across languages; a last pool that is still small is judged by the estimate over all
+rows. NULL languages and sources are groups of their own. The estimated scatter is used as
+it is; only where it is less than the noise of counting, which no scatter of ordinary texts
+can be, that noise takes its place (``floors``).
 
 Defined results: a NULL or empty text has no words and fails the base rules; repeated rows
 get equal results; the base rules come first, and a text that fails them is not kept and
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from ambergrid.llm.common import BROADCAST_KEYS, SPACE, let, words
 from ambergrid.session import materialise
 
-#: Statistics of the vector and the least standard deviation assumed for each.
-FLOORS = {"length": 0.10, "symbols": 0.08, "lines": 0.25, "repeats": 0.20}
+#: Statistics of the vector: what each is a share of (length: counted in), and how many of it come at once.
+#: A repeat is two windows of three words.
+STATISTICS = {"length": ("word_chars", 4), "symbols": ("word_chars", 1), "lines": ("n_lines", 1), "repeats": ("n_words", 6)}
+COUNTED = ["word_chars", "n_lines", "n_words"]
 #: Share of the rows that the estimate concentrates on.
 CORE = 0.75
 #: Probability beyond which a distance is an outlier.
@@ -122,28 +126,46 @@ def chi_square_cut(tail: float, half: int) -> float:
     return high
 
 
-SIZE = len(FLOORS)
+SIZE = len(STATISTICS)
 PAIRS = [(i, j) for i in range(SIZE) for j in range(i + 1)]
 #: Makes the scatter of the core of a normal sample an estimate of its covariance.
 CONSISTENCY = CORE / (1 - chi_square_tail(chi_square_cut(1 - CORE, SIZE // 2), SIZE // 2 + 1))
 CUT = chi_square_cut(TAIL, SIZE // 2)
 
 
+#: Variance of rounding to whole thousandths.
+ROUNDING = 1 / 12
+
+
+def floors(row: bool) -> list[Column]:
+    """Least variances: the noise of counting in a text of the pool's mean size, or in a shorter row.
+
+    The square root of a share of n has variance c / 4n when its counts come c at once, and
+    the log of a mean word length 1 / n in n characters. A share of one half can always be rejected.
+    """
+    out = []
+    for k, (whole, at_once) in enumerate(STATISTICS.values()):
+        n = F.least(F.col(whole), F.col(f"mean_{whole}")) if row else F.col(f"mean_{whole}")
+        noise = F.lit(at_once / 4) / F.greatest(n.cast("double"), F.lit(1.0))
+        out.append(F.greatest((F.least(noise, F.lit(0.5 / CUT)) if k else noise) * UNIT**2, F.lit(ROUNDING)))
+    return out
+
+
 def precision(estimate: DataFrame, factor: float) -> DataFrame:
-    """From counts and moment sums per pool: centre m and inverse scatter p, by Cholesky factors."""
-    floors = [(f * UNIT) ** 2 for f in FLOORS.values()]
+    """From counts and moment sums per pool: centre m, variances g and inverse scatter p, by Cholesky factors."""
+    least = floors(False)
     n = F.col("n").cast("double")
-    out = estimate.select("pool", *[(F.col(f"s{i}").cast("double") / n).alias(f"m{i}") for i in range(SIZE)],
+    out = estimate.select("pool", *[f"mean_{c}" for c in COUNTED], *[(F.col(f"s{i}").cast("double") / n).alias(f"m{i}") for i in range(SIZE)],
                           *[(F.col(f"s{i}{j}").cast("double") / n).alias(f"q{i}{j}") for i, j in PAIRS])
     for i, j in PAIRS:
         scatter = F.greatest(F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) if i == j else (
             F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-        out = out.withColumn(f"c{i}{j}", scatter * factor + (floors[i] if i == j else 0.0))
+        out = out.withColumn(f"c{i}{j}", F.greatest(scatter * factor, least[i]) if i == j else scatter * factor)
     for j in range(SIZE):
         left = F.col(f"c{j}{j}")
         for k in range(j):
             left = left - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(1e-3))))
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(ROUNDING))))
         for i in range(j + 1, SIZE):
             left = F.col(f"c{i}{j}")
             for k in range(j):
@@ -161,14 +183,23 @@ def precision(estimate: DataFrame, factor: float) -> DataFrame:
         for k in range(i, SIZE):
             total = total + F.col(f"v{k}{i}") * F.col(f"v{k}{j}")
         inverse.append((total * (1.0 if i == j else 2.0)).alias(f"p{i}{j}"))
-    return out.select("pool", *[f"m{i}" for i in range(SIZE)], *inverse)
+    return out.select("pool", *[f"m{i}" for i in range(SIZE)], *[F.col(f"c{i}{i}").alias(f"g{i}") for i in range(SIZE)], *inverse)
 
 
 def distance() -> Column:
-    total = F.lit(0.0)
-    for i, j in PAIRS:
-        total = total + F.col(f"p{i}{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))
-    return total
+    """Squared distance, with the noise of a short row instead of a lesser variance of its pool."""
+    least = floors(True)
+    away = [
+        (F.col(f"x{i}") - F.col(f"m{i}")) * F.sqrt(F.least(F.lit(1.0), F.col(f"g{i}") / least[i])) for i in range(SIZE)
+    ]
+
+    def form(d: Column) -> Column:
+        total = F.lit(0.0)
+        for i, j in PAIRS:
+            total = total + F.col(f"p{i}{j}") * d[i] * d[j]
+        return total
+
+    return let(F.array(*away), form)
 
 
 def bucket() -> Column:
@@ -194,15 +225,19 @@ def start(rows: DataFrame) -> DataFrame:
     cuts = ranked.groupBy("pool", "i").agg(
         *[F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("x"))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
     )
-    floors = F.array(*[F.lit(f * UNIT) for f in FLOORS.values()])
-    scale = F.greatest((F.col("q75") - F.col("q25")) / 1.349, floors[F.col("i")])
-    wide = cuts.groupBy("pool").agg(
+    means = F.array(*[f"mean_{c}" for c in COUNTED])
+    sizes = rows.groupBy("pool").agg(F.max(means).alias("means")).select(
+        "pool", *[F.col("means")[k].alias(f"mean_{c}") for k, c in enumerate(COUNTED)]
+    ).select("pool", F.array(*floors(False)).alias("least"))
+    spread = F.pow((F.col("q75") - F.col("q25")) / 1.349, F.lit(2.0))
+    wide = cuts.join(sizes, "pool").withColumn("g", F.greatest(spread, F.col("least")[F.col("i")])).groupBy("pool").agg(
         *[F.max(F.when(F.col("i") == i, F.col("q50"))).cast("double").alias(f"m{i}") for i in range(SIZE)],
-        *[F.max(F.when(F.col("i") == i, 1.0 / (scale * scale))).alias(f"p{i}{i}") for i in range(SIZE)],
-    )
+        *[F.max(F.when(F.col("i") == i, F.col("g"))).alias(f"g{i}") for i in range(SIZE)],
+    ).select("*", *[(1.0 / F.col(f"g{i}")).alias(f"p{i}{i}") for i in range(SIZE)])
     return wide.select(
         "pool",
         *[f"m{i}" for i in range(SIZE)],
+        *[f"g{i}" for i in range(SIZE)],
         *[F.col(f"p{i}{j}") if i == j else F.lit(0.0).alias(f"p{i}{j}") for i, j in PAIRS],
     )
 
@@ -212,6 +247,7 @@ def concentrate(rows: DataFrame, centres: DataFrame) -> DataFrame:
     exact = "decimal(20,0)"
     moments = attach(rows, centres, ["pool"]).withColumn("bucket", bucket()).groupBy("pool", "bucket").agg(
         F.count("*").alias("n"),
+        *[F.max(f"mean_{c}").alias(f"mean_{c}") for c in COUNTED],
         *[F.sum(F.col(f"x{i}").cast(exact)).alias(f"s{i}") for i in range(SIZE)],
         *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast(exact)).alias(f"s{i}{j}") for i, j in PAIRS],
     )
@@ -220,7 +256,9 @@ def concentrate(rows: DataFrame, centres: DataFrame) -> DataFrame:
         "all", F.sum("n").over(Window.partitionBy("pool"))
     ).where(F.col("before") < F.col("all") * CORE)
     sums = ["n", *[f"s{i}" for i in range(SIZE)], *[f"s{i}{j}" for i, j in PAIRS]]
-    total = taken.groupBy("pool").agg(*[F.sum(s).alias(s) for s in sums])
+    total = taken.groupBy("pool").agg(
+        *[F.sum(s).alias(s) for s in sums], *[F.max(f"mean_{c}").alias(f"mean_{c}") for c in COUNTED]
+    )
     return materialise(precision(total, CONSISTENCY), "mcd")
 
 
@@ -238,7 +276,9 @@ def quality(docs: DataFrame, key: str = "doc_id", least: int = 100) -> DataFrame
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = materialise(rows.withColumn("base_failed", failed).select("*", *vector()), "quality")
-    groups = rows.where(~F.col("base_failed")).groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
+    groups = rows.where(~F.col("base_failed")).groupBy("lang_key", "source_key").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(f"all_{c}") for c in COUNTED]
+    )
     own = F.col("n") >= least
     by_lang = F.sum(F.when(~own, F.col("n")).otherwise(0)).over(Window.partitionBy("lang_key"))
     # a pool's name starts with its kind; keys start with "=" or are empty, so names differ
@@ -247,13 +287,25 @@ def quality(docs: DataFrame, key: str = "doc_id", least: int = 100) -> DataFrame
         F.when(own, F.concat(F.lit("s"), F.length("lang_key").cast("string"), F.lit(":"), "lang_key", "source_key"))
         .when(by_lang >= least, F.concat(F.lit("l"), "lang_key"))
         .otherwise("rest"),
-    ).select("lang_key", "source_key", "pool")
+    )
     pools = materialise(pools, "pools")
-    usable = attach(rows.where(~F.col("base_failed")), pools, ["lang_key", "source_key"])
+    total = [F.sum("n").alias("n"), *[F.sum(f"all_{c}").alias(f"all_{c}") for c in COUNTED]]
+    rest, = pools.where("pool = 'rest'").agg(F.sum("n")).first()
+    # too few rows for an estimate of their own: the last pool's is over all rows
+    widen = rest is not None and rest < least
+    sums = pools.groupBy("pool").agg(*total)
+    if widen:
+        sums = sums.where("pool <> 'rest'").unionByName(pools.agg(*total).withColumn("pool", F.lit("rest")))
+    means = materialise(sums.select("pool", *[(F.col(f"all_{c}") / F.col("n")).alias(f"mean_{c}") for c in COUNTED]), "pools")
+    named = materialise(pools.select("lang_key", "source_key", "pool").join(means, "pool"), "pools")
+    usable = attach(rows.where(~F.col("base_failed")), named, ["lang_key", "source_key"])
+    if widen:
+        everything = rows.where(~F.col("base_failed")).crossJoin(F.broadcast(means.where("pool = 'rest'")))
+        usable = usable.where("pool <> 'rest'").unionByName(everything.select(usable.columns))
     centres = materialise(start(usable), "mcd")
     for _ in range(STEPS):
         centres = concentrate(usable, centres)
-    known = materialise(pools.join(centres, "pool"), "mcd")
+    known = materialise(named.join(centres, "pool"), "mcd")
     judged = rows.join(F.broadcast(known) if known.count() * 16 <= BROADCAST_KEYS else known,
                        ["lang_key", "source_key"], "left")
     far = F.coalesce(F.when(~F.col("base_failed"), distance()) > CUT, F.lit(False))

@@ -187,6 +187,37 @@ def test_quality_rejects_what_differs(spark):
     assert all(found[500 + i]["kept"] for i in range(5) if not found[500 + i]["base_failed"])
 
 
+@pytest.mark.parametrize("lines", [1, 2, 12])
+def test_quality_rejects_by_one_statistic(spark, lines):
+    rnd = random.Random(8)
+    names = ["".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+
+    def text(n, lines):
+        words = [rnd.choice(names) for _ in range(n)]
+        return "\n".join(" ".join(words[k * n // lines : (k + 1) * n // lines]) for k in range(lines))
+
+    rows = [text(rnd.randint(60, 300), lines) for _ in range(400)]
+    rows += [text(150, lines) + " $ 5 & more" for _ in range(5)]  # a few symbols are ordinary
+    shares = [0.05, 0.07, 0.10]
+    for share in shares:
+        plain = text(200, lines)
+        letters = len("".join(plain.split()))
+        rows.append(plain + " " + "#" * round(letters * share / (1 - share)))
+    # many repeated lines of one word each, among too few repeated windows for the base rule
+    spread = text(300, 1).split()
+    rows.append("\n".join(f"{a} {b} {c}\nso" for a, b, c in zip(spread[::3], spread[1::3], spread[2::3])))
+    found = {
+        r["doc_id"]: r
+        for r in quality.quality(
+            spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")
+        ).collect()
+    }
+    assert not any(r["base_failed"] for r in found.values())
+    assert [found[405 + i]["kept"] for i in range(len(shares) + 1)] == [False] * 4
+    assert found[408]["n_dup_lines"] == 99 and found[408]["n_symbols"] == 0
+    assert sum(found[i]["kept"] for i in range(405)) >= 402
+
+
 def test_quality_distances_follow_the_estimate(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(80)), "en", "s") for i in range(300)]
