@@ -4,8 +4,10 @@ A page is read into a tree with the usual repairs (implied end tags, unclosed el
 raw script and style text). Menus, forms, adverts, notices, comments and the like are
 taken out by element and by class or id cues. Every text block then passes points for its
 length and commas to its ancestors, halved at each step and discounted by the share of
-link text. The container with the most points is kept, with those of its siblings that
-score well or are prose of the same kind.
+link text. The container with the most points is kept. Inside an article or main element every
+other text block of that element is kept too, whatever its length, unless it is mostly links;
+so are the articles beside an article. Elsewhere siblings are kept by the same rule, except
+that generic containers right below the body need a fifth of the best one's points.
 
 Defined results: NULL, empty and text-free pages give the empty string. Nothing is cut.
 """
@@ -52,6 +54,8 @@ UNWANTED = frozenset(
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget banner complementary contentinfo "
     "search alert copyright".split()
 )
+#: Boxes without a meaning of their own.
+CONTAINERS = frozenset("div section center".split())
 WANTED = frozenset("article body content entry main post story text".split())
 
 TOKEN = re.compile(
@@ -222,23 +226,40 @@ def main_text(page: str | None) -> str:
         node.score *= 1 - node.linked / max(node.length, 1)
     best = max(touched.values(), key=lambda n: n.score)
     kept = {id(best)}
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
-        for sibling in best.parent.children:
-            if isinstance(sibling, Node) and not sibling.dropped and sibling.length:
-                links = sibling.linked / sibling.length
-                prose = sibling.tag in ("p", "h1", "h2", "pre", "blockquote") and links < 0.25
-                if prose or sibling.score >= max(10.0, 0.2 * best.score):
+    above = risen(best)
+    for parent in above:
+        whole = parent.tag not in ("body", "html", "root")
+        for sibling in parent.children:
+            if isinstance(sibling, Node) and not sibling.dropped and 2 * sibling.linked < sibling.length:
+                if whole or sibling.tag not in CONTAINERS or sibling.score >= 0.2 * best.score:
                     kept.add(id(sibling))
+    loose = {id(parent) for parent in above}
+    kept -= loose
     texts = []
-    for holder, text, _ in found:
+    for holder, text, linked in found:
         node: Node | None = holder
         while node is not None and id(node) not in kept:
             node = node.parent
-        if node is not None:
+        if node is not None or (id(holder) in loose and holder.tag not in ("body", "html", "root") and 2 * linked < len(text)):
             texts.append(text)
     return " ".join(texts)
 
 
+def risen(best: Node) -> list[Node]:
+    """Elements whose other blocks go with the best one's: up to the outermost article or main."""
+    if best.tag in ("body", "html", "root"):
+        return []
+    path, top = [], 0
+    node: Node | None = best
+    while node is not None:
+        path.append(node)
+        if node.tag in ("article", "main"):
+            top = len(path) - 1
+        node = node.parent
+    # beside an article or another container there may be more of the text, beside main not
+    return path[1 : top + 1 if path[top].tag == "main" else top + 2]
+
+
 def _main_texts(pages: pd.Series) -> pd.Series:
     return pages.map(main_text)
 

@@ -53,6 +53,28 @@ def test_page_text():
     )
 
 
+def test_page_text_of_unequal_parts():
+    para = "This is a sentence of the article, with words, that goes on. " * 5
+
+    def paras(name, n):
+        return "".join(f"<p>{name}{k} {para}</p>" for k in range(n))
+
+    def parts(page):
+        return [w for w in extract.main_text(page).split() if w[0] == "@"]
+
+    nested = (
+        f"<body><article>@intro, loose<h3>@head</h3><section>{paras('@a', 1)}</section><ul><li>@item</li></ul>"
+        f"<section>{paras('@b', 6)}</section><table><tr><td>@cell</td></tr></table><dl><dt>@term</dt></dl>"
+        "<ul><li><a href=/x>@link elsewhere</a></li></ul><div class=share>@share</div></article></body>"
+    )
+    assert parts(nested) == ["@intro,", "@head", "@a0", "@item", *[f"@b{k}" for k in range(6)], "@cell", "@term"]
+    two = f"<article>{paras('@a', 1)}</article><article>{paras('@b', 6)}</article>"
+    both = ["@a0", *[f"@b{k}" for k in range(6)]]
+    assert parts(f"<body><main>{two}</main><div>@outside</div></body>") == both
+    assert parts(f"<body>{two}<nav>@menu</nav></body>") == both
+    assert parts(f"<body><div><div>{paras('@a', 1)}</div><div>{paras('@b', 6)}</div><h4>@end</h4></div></body>") == [*both, "@end"]
+
+
 @pytest.mark.parametrize(
     "page, text",
     [(None, ""), ("", ""), ("<p></p>", ""), ("plain", "plain"), ("<b>a<i>b", "ab"), ("<!-- <p>x</p> -->y", "y"),
