@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambergrid.llm.common import map_arrow
@@ -33,6 +33,8 @@ from ambergrid.session import materialise
 
 ORDER = 4
 SAMPLE_CHARS = 1_000_000
+#: Texts of a language besides those that calibrate, from which on some are held back for it.
+LEAST_FITTED = 8
 #: Symbols that are scored at once; longer texts go through in slices.
 SLICE = 1 << 18
 #: Symbol before a text; no letter has this code.
@@ -279,22 +281,48 @@ class Models:
         )
 
 
+def windows(text: Column, chars: int, pieces: int = 16) -> Column:
+    """A text of more than ``chars`` characters as windows of that length together, spread over the whole of it."""
+    width = max(chars // pieces, 1)
+    step = (F.length(text) - width) / max(pieces - 1, 1)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.floor(k * step).cast("int") + 1)
+    return F.when(
+        F.length(text) > chars, F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(width))), " ")
+    ).otherwise(text)
+
+
 def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models | None:
     """Models learned from docs (key, text, lang), all of which may be learned from.
 
-    Two passes: characters per language, which give each language's share, and the n-gram
-    counts of the chosen texts, which Spark adds up. One in eight chosen texts calibrates.
+    Two passes: characters per language and range of hashes, which tell how far the first texts
+    in hash order reach ``sample_chars``, and the n-gram counts of the chosen texts, which Spark
+    adds up. So every language has a text at least; one longer than the bound is read in windows
+    spread over it. One in eight chosen texts calibrates, where a language has enough others.
     """
     usable = docs.select("key", "text", "lang").where("key is not null and text is not null and lang is not null")
-    sizes = usable.groupBy("lang").agg(F.sum(F.length("text").cast("double")).alias("chars"))
-    shares = [(r["lang"], min(1.0, sample_chars / r["chars"])) for r in sizes.collect() if r["chars"]]
-    if not shares:
+    # texts without a letter cannot be learned from and shall not stand for their language
+    usable = usable.where(F.col("text").rlike(r"\p{L}"))
+    # 64 ranges to a doubling of the draw: the last range taken holds about a hundredth of the bound
+    draw = F.xxhash64("key", F.lit("sample")).bitwiseAND((1 << 52) - 1) + 1
+    usable = usable.withColumn("reach", F.floor(F.log2(draw.cast("double")) * 64).cast("int"))
+    ranges = usable.groupBy("lang", "reach").agg(
+        F.sum(F.least(F.length("text"), F.lit(sample_chars)).cast("double")).alias("chars")
+    )
+    before = F.sum("chars").over(Window.partitionBy("lang").orderBy("reach")) - F.col("chars")
+    reached = ranges.withColumn("before", before).where(F.col("before") < sample_chars)
+    ends = [(r["lang"], r["end"]) for r in reached.groupBy("lang").agg(F.max("reach").alias("end")).collect()]
+    if not ends:
         return None
-    share = F.create_map(*[F.lit(x) for pair in shares for x in pair])[F.col("lang")]
-    draw = (F.xxhash64("key", F.lit("sample")).bitwiseAND((1 << 30) - 1) / float(1 << 30)).cast("double")
+    end = F.create_map(*[F.lit(x) for pair in ends for x in pair])[F.col("lang")]
+    part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(8))
     chosen = materialise(
-        usable.where(draw < share).withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(8))), "lid"
+        usable.where(F.col("reach") <= end).select("lang", windows(F.col("text"), sample_chars).alias("text"), part.alias("part")),
+        "lid",
     )
+    others = chosen.groupBy("lang").agg(F.count(F.when(F.col("part") > 0, 1)).alias("n"))
+    few = [r["lang"] for r in others.where(F.col("n") < LEAST_FITTED).collect()]
+    # only where the others are enough for the fit
+    chosen = chosen.withColumn("part", F.when(F.col("lang").isin(few), F.lit(1)).otherwise(F.col("part")))
     counted = map_arrow(chosen.where("part > 0").select("lang", "text"), _counts, "lang string, gram string, n long")
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if grams.empty:

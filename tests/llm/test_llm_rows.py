@@ -179,6 +179,28 @@ def test_kneser_ney_sums_to_one():
     assert abs(some.sum() + some[5] * (0x110000 - len(letters)) - 1) < 1e-4
 
 
+def test_languages_of_few_texts_stay(spark):
+    rnd = random.Random(9)
+    many = {f"few{k}": "".join(chr(0x4E00 + 40 * k + i) for i in range(40)) for k in range(30)}
+
+    def text(letters, n):
+        return " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(n))
+
+    # a text of its own for every language, some of them in the part that calibrates
+    rows = [(k, text(letters, 40), lang) for k, (lang, letters) in enumerate(many.items())]
+    # and five texts, each far beyond the bound
+    rows += [(100 + k, text("абвгдежз", 2500), "long") for k in range(5)]
+    rows.append((200, "1 2 3 " * 5000, "few0"))
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    models = language.fit(docs, sample_chars=1000)
+    assert set(models.langs) == {*many, "long"}
+    found = docs.where("key < 200").withColumn("f", language.identify(F.col("text"), models, spark)).collect()
+    assert all(r["f"]["lang_pred"] == r["lang"] for r in found)
+    spread = spark.createDataFrame([("".join(chr(97 + i // 1000) for i in range(20000)),)], "t string")
+    assert set(spread.select(language.windows(F.col("t"), 160)).first()[0]) >= {"a", "j", "t"}
+    assert spark.createDataFrame([("abc",)], "t string").select(language.windows(F.col("t"), 3)).first()[0] == "abc"
+
+
 def test_quality_statistics(docs, empty):
     found = quality.quality(docs).collect()
     assert len(found) == docs.count()
