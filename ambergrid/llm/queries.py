@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambergrid.llm import extract, jaccard, language, licenses, mixing, neardup, packing, pii, quality, repeats
-from ambergrid.llm.common import table
+from ambergrid.llm import contamination, extract, jaccard, language, licenses, mixing, neardup, packing, pii, quality
+from ambergrid.llm import repeats, runs, variants
+from ambergrid.llm.common import let, table, words
 from ambergrid.plans.packaging import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +127,85 @@ def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(variants.vocabulary(table(spark, sf_dir, "documents"), every=199))
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.Contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.report().select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+EXPECTED["op12_benchmark_decontamination"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS body
+  FROM (SELECT item_id, words, least(10, len(words)) AS size, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i
+        FROM items WHERE len(words) > 0)),
+places AS (
+  SELECT doc_id, size, i, array_to_string(list_slice(words, i, i + size - 1), ' ') AS body
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM texts, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+matches AS (SELECT DISTINCT doc_id, i, size, item_id FROM places JOIN windows USING (size, body)),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM matches) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+          FROM (SELECT DISTINCT doc_id, item_id FROM matches) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def with_planted_run(key: Column, text: Column) -> Column:
+    """The text of one in ten documents with a part that repeats itself, chosen by the key's hash."""
+    code = F.crc32(F.encode(key.cast("string"), "UTF-8"))
+    g = F.floor(code / 10)
+
+    def repeated(found: Column) -> Column:
+        n = F.size(found)
+        begin = (g % n).cast("int")
+        period = (1 + F.floor((n - begin) / (3 + g % 8))).cast("int")
+        place = lambda i: F.when(i < begin, i).otherwise(begin + (i - begin) % period)
+        same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(found, place(i)))
+        return F.when(n > 0, F.array_join(same, " ")).otherwise(F.lit(""))
+
+    return F.when(code % 10 == 0, let(words(text), repeated)).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", with_planted_run(F.col("doc_id"), F.col("text")))
+    found = runs.periodic_runs(docs)
+    ahead = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(ahead(y, x), y).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

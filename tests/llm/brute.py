@@ -1,9 +1,11 @@
 """Plain versions of the operators, for small inputs."""
 
 import collections
+import fractions
 import hashlib
 import html
 import re
+import zlib
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -142,3 +144,106 @@ def article(page):
     parts = re.split(r"</?(?:p|h1|article)>", inner)
     texts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts]
     return " ".join(t for t in texts if t)
+
+
+def periodic_runs(words, least=24, times=3):
+    """All runs (start, length, period) by comparing words q apart, for every q."""
+    found = []
+    for q in range(1, len(words) // times + 1):
+        k = 0
+        while k + q < len(words):
+            if words[k] != words[k + q]:
+                k += 1
+                continue
+            start = k
+            while k + q < len(words) and words[k] == words[k + q]:
+                k += 1
+            length = k + q - start
+            part = words[start : start + q]
+            if length >= max(least, times * q) and all(part != part[d:] + part[:d] for d in range(1, q)):
+                found.append((start, length, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def planted(key, words):
+    """The words after the contract's rule, which repeats a part in one text of ten."""
+    h = zlib.crc32(str(key).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs_row(key, text):
+    """The row of op13 for one document, without its id."""
+    words = planted(key, SPACED.findall(text or ""))
+    runs = periodic_runs(words)
+    gone = {i for start, length, q in runs for i in range(start + q, start + length)}
+    left = " ".join(w for i, w in enumerate(words) if i not in gone)
+    best = max(runs, key=lambda r: (fractions.Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    head = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in runs)
+    return (len(runs), *head, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest())
+
+
+def one_error(a, b):
+    """Whether the strings differ by exactly one inserted, deleted or replaced code point."""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def spelling(docs, every=199, least=6, times=5, ratio=5):
+    """word -> (form, root, n, n_near, form_n) over all pairs of words."""
+    counts = collections.Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if every and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= least and n >= times}
+    near = {w: [v for v in counts if one_error(w, v)] for w in counts}
+    forms = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        forms[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = (forms[w], root, counts[w], len(near[w]), counts[forms[w]] if forms[w] else None)
+    return out
+
+
+def benchmark_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+
+
+def contaminated(docs, items, window=10):
+    """Per document: (n_words, n_hit, sorted names of items with occurring windows)."""
+    windows = collections.defaultdict(set)
+    for name, text in items:
+        words = benchmark_words(text)
+        size = min(window, len(words))
+        for k in range(len(words) - size + 1 if size else 0):
+            windows[tuple(words[k : k + size])].add("" if name is None else str(name))
+    sizes = {len(w) for w in windows}
+    out = []
+    for text in docs:
+        words, hit, names = benchmark_words(text), set(), set()
+        for size in sizes:
+            for k in range(len(words) - size + 1):
+                found = windows.get(tuple(words[k : k + size]))
+                if found:
+                    hit.update(range(k, k + size))
+                    names |= found
+        out.append((len(words), len(hit), sorted(names)))
+    return out
