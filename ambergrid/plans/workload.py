@@ -33,6 +33,7 @@ from ambergrid.sources import tables as src
 from ambergrid.sources.synthetic import generate_transactions
 from ambergrid.streaming import common as stream_common
 from ambergrid.streaming import jobs
+from ambergrid.streaming.history import with_user_history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -763,6 +764,23 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_common.event_stream(spark, f"{sf_dir}/event[s].parquet")
 
 
+#: Micro-batches in which the registered streams with state see the events.
+PARTS = 6
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files in time order, one file to a micro-batch."""
+    events = src.table(spark, sf_dir, "events")
+    at = scalar.micros(F.col("ts"))
+    cuts = events.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)])).first()[0] or []
+    path = scratch_path(spark, "event-parts")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.filter((at > low) | at.isNull())
+        part = part if high is None else part.filter(at <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return stream_common.event_stream(spark, path, maxFilesPerTrigger="1")
+
+
 @query
 def stream_hourly(spark, sf_dir):
     out, state = scratch_path(spark, "hourly"), scratch_path(spark, "hourly-state")
@@ -783,7 +801,7 @@ def stream_velocity(spark, sf_dir):
 @query
 def stream_velocity_bulk(spark, sf_dir):
     out, state = scratch_path(spark, "velocity-bulk"), scratch_path(spark, "velocity-bulk-state")
-    _drain(jobs.gap_batches(_stream(spark, sf_dir), out, state))
+    _drain(jobs.gap_batches(_parts(spark, sf_dir), out, state))
     return neat(spark.read.parquet(f"{out}/gaps"), "tx_id", "user_id", "gap_seconds")
 
 
@@ -791,17 +809,32 @@ def _stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = src.transactions(spark, sf_dir)
     profile = materialise(jobs.user_profile(history), "profile")
     limit = jobs.high_amount_limit(history, ft.HIGH_AMOUNT_QUANTILE)
-    return jobs.score_features(_stream(spark, sf_dir), profile, limit, ft.EVENT_RISK)
+    return jobs.score_features(_parts(spark, sf_dir), profile, limit, ft.EVENT_RISK)
 
 
 @query
 def stream_features(spark, sf_dir):
     out, state = scratch_path(spark, "stream-features"), scratch_path(spark, "stream-features-state")
-    featured = _stream_features(spark, sf_dir).select("tx_id", "amount_zscore", "high_amount_flag", "hour")
+    ship_package(spark)
+    featured = _stream_features(spark, sf_dir).select(
+        "tx_id", "amount_zscore", "high_amount_flag", "hour", "time_since_last_transaction", "velocity_flag", "risk_score"
+    )
     _drain(stream_common.write_stream(featured, out, state))
     return neat(spark.read.schema(featured.schema).parquet(out))
 
 
+@query
+def stream_history(spark, sf_dir):
+    """What keyed state knows of each row's user, over several micro-batches."""
+    ship_package(spark)
+    out, state = scratch_path(spark, "stream-history"), scratch_path(spark, "stream-history-state")
+    known = with_user_history(_parts(spark, sf_dir)).select(
+        "tx_id", "user_id", "time_since_last_transaction", "user_avg_amount", "user_std_amount", "user_transaction_count"
+    )
+    _drain(stream_common.write_stream(known, out, state))
+    return neat(spark.read.schema(known.schema).parquet(out))
+
+
 @query
 def stream_alerts(spark, sf_dir):
     out, state = scratch_path(spark, "stream-alerts"), scratch_path(spark, "stream-alerts-state")

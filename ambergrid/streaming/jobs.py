@@ -18,6 +18,7 @@ from ambergrid.operators.pieces import salted_left_join
 from ambergrid.operators.quantile import exact_quantile
 from ambergrid.session import DEFAULT_LIMITS, Limits, materialise
 from ambergrid.streaming.common import for_each_batch
+from ambergrid.streaming.history import with_user_history
 
 LATENESS = "10 minutes"
 
@@ -42,27 +43,29 @@ def user_profile(history: DataFrame) -> DataFrame:
 
 def score_features(
     stream: DataFrame,
-    profile: DataFrame,
+    profile: DataFrame | None,
     high_amount: float,
     risk: Mapping[str, int] = MERCHANT_RISK,
     limits: Limits = DEFAULT_LIMITS,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of arriving transactions from a stored profile; unknown users keep NULLs.
+    """Features of arriving transactions, the same as those of a batch over the same rows.
 
-    A large profile is joined with its busiest users salted, going by the counts in it.
+    The gap comes from the user's keyed state, so ``velocity_flag`` and ``risk_score`` are
+    known. The user's statistics come from a stored profile, whose busiest users are salted
+    going by the counts in it; unknown users keep NULLs. Without a profile they are those that
+    the state has kept, up to and including the row. ``earlier`` rows start the state.
     """
-    rows = F.col("user_transaction_count")
-    total = profile.agg(F.sum(rows).alias("_all"))
-    busy = profile.crossJoin(F.broadcast(total)).filter(
-        rows > F.greatest(F.lit(float(limits.hot_rows)), F.col("_all") / limits.max_hot)
-    )
-    known = salted_left_join(stream, profile, "user_id", "tx_id", limits, hot=busy).withColumns(
-        {
-            "time_since_last_transaction": F.lit(None).cast("double"),
-            "high_amount_flag": flag(F.col("amount") > high_amount),
-        }
-    )
-    return point_features(known, risk)
+    known = with_user_history(stream, earlier)
+    if profile is not None:
+        known = known.drop("user_avg_amount", "user_std_amount", "user_amount_count", "user_transaction_count")
+        rows = F.col("user_transaction_count")
+        total = profile.agg(F.sum(rows).alias("_all"))
+        busy = profile.crossJoin(F.broadcast(total)).filter(
+            rows > F.greatest(F.lit(float(limits.hot_rows)), F.col("_all") / limits.max_hot)
+        )
+        known = salted_left_join(known, profile, "user_id", "tx_id", limits, hot=busy)
+    return point_features(known.withColumn("high_amount_flag", flag(F.col("amount") > high_amount)), risk)
 
 
 def high_amount_limit(history: DataFrame, p: float) -> float:
