@@ -18,9 +18,9 @@ from ambergrid.functions.scalar import (
     seconds_between,
     weekday,
 )
-from ambergrid.operators.pieces import salted_left_join, with_pieces
+from ambergrid.operators.pieces import salted_left_join, split_hot, with_previous
 from ambergrid.operators.quantile import exact_quantile
-from ambergrid.session import DEFAULT_LIMITS, Limits
+from ambergrid.session import DEFAULT_LIMITS, Limits, is_small
 
 # Risk per merchant category.
 MERCHANT_RISK = {
@@ -68,12 +68,8 @@ ZSCORE_EPSILON = 1e-5
 
 def user_stats(tx: DataFrame) -> DataFrame:
     """Per-user mean, sample deviation and counts. Aggregates partially before its shuffle."""
-    return tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        F.avg("amount").alias("user_avg_amount"),
-        F.stddev_samp("amount").alias("user_std_amount"),
-        F.count("amount").alias("user_amount_count"),
-        F.count("tx_id").alias("user_transaction_count"),
-    )
+    aggregates = [value.alias(name) for name, value in _user_aggregates().items()]
+    return tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggregates)
 
 
 def join_user_stats(tx: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -98,52 +94,52 @@ def with_time_features(tx: DataFrame) -> DataFrame:
     )
 
 
+def _user_aggregates() -> dict[str, Column]:
+    return {
+        "user_avg_amount": F.avg("amount"),
+        "user_std_amount": F.stddev_samp("amount"),
+        "user_amount_count": F.count("amount"),
+        "user_transaction_count": F.count("tx_id"),
+    }
+
+
+def _gap(previous: Column) -> Column:
+    return F.when(F.col("user_id").isNotNull(), seconds_between(previous, F.col("_us")))
+
+
 def with_user_history(tx: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Add user statistics and the seconds since the user's previous transaction.
 
-    One shuffle of the table, on (user, piece). A user that is not hot is one
-    piece, so windows over the piece see the whole user; for a hot user the
-    statistics and the last timestamp before the piece come with ``_hot``.
+    One shuffle of the table, on the user: both windows share it. The rows of hot users
+    get the statistics from one aggregate, and their predecessors by a scan over ranges.
     """
-    carry = {
-        "mean": (F.avg("amount"), "double"),
-        "std": (F.stddev_samp("amount"), "double"),
-        "amounts": (F.count("amount"), "bigint"),
-        "rows": (F.count("tx_id"), "bigint"),
-    }
-    marked = with_pieces(tx.withColumn("_us", micros(F.col("ts"))), ["user_id"], "_us", limits, carry)
+    timed = tx.withColumn("_us", micros(F.col("ts")))
+    rest, hot, rows = (timed, None, 0) if is_small(tx, limits) else split_hot(timed, ["user_id"], limits, _user_aggregates())
     # The ordered window comes first: its sort also serves the unordered one.
-    ordered = Window.partitionBy("user_id", "_piece").orderBy("_us", "tx_id")
-    whole = Window.partitionBy("user_id", "_piece")
+    ordered = Window.partitionBy("user_id").orderBy("_us", "tx_id")
+    whole = Window.partitionBy("user_id")
+    out = rest.withColumn("_prev_us", F.lag("_us").over(ordered)).withColumns(
+        {name: value.over(whole) for name, value in _user_aggregates().items()}
+    )
+    if hot is not None:
+        out = out.unionByName(with_previous(hot, ["user_id"], "_us", ["tx_id"], "_prev_us", rows, limits))
     known = F.col("user_id").isNotNull()
-    hot = F.col("_hot").isNotNull()
-
-    def stat(hot_field: str, over_piece: Column) -> Column:
-        return F.when(known, F.when(hot, F.col(f"_hot.{hot_field}")).otherwise(over_piece))
-
-    previous = F.coalesce(F.lag("_us").over(ordered), F.col("_hot.prev"))
     return (
-        marked.withColumn("_prev_us", F.when(known, previous))
-        .withColumns(
-            {
-                "user_avg_amount": stat("mean", F.avg("amount").over(whole)),
-                "user_std_amount": stat("std", F.stddev_samp("amount").over(whole)),
-                "user_amount_count": stat("amounts", F.count("amount").over(whole)),
-                "user_transaction_count": stat("rows", F.count("tx_id").over(whole)),
-            }
-        )
-        .withColumn("time_since_last_transaction", seconds_between(F.col("_prev_us"), F.col("_us")))
-        .drop("_us", "_prev_us", "_piece", "_hot")
+        out.withColumn("time_since_last_transaction", _gap(F.col("_prev_us")))
+        .withColumns({name: F.when(known, F.col(name)) for name in _user_aggregates()})
+        .drop("_us", "_prev_us")
     )
 
 
 def with_time_since_last(tx: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Only the seconds since the user's previous transaction."""
-    marked = with_pieces(tx.withColumn("_us", micros(F.col("ts"))), ["user_id"], "_us", limits)
-    ordered = Window.partitionBy("user_id", "_piece").orderBy("_us", "tx_id")
-    previous = F.coalesce(F.lag("_us").over(ordered), F.col("_hot.prev"))
-    gap = F.when(F.col("user_id").isNotNull(), seconds_between(previous, F.col("_us")))
-    return marked.withColumn("time_since_last_transaction", gap).drop("_us", "_piece", "_hot")
+    timed = tx.withColumn("_us", micros(F.col("ts")))
+    rest, hot, rows = (timed, None, 0) if is_small(tx, limits) else split_hot(timed, ["user_id"], limits)
+    ordered = Window.partitionBy("user_id").orderBy("_us", "tx_id")
+    out = rest.withColumn("_prev_us", F.lag("_us").over(ordered))
+    if hot is not None:
+        out = out.unionByName(with_previous(hot, ["user_id"], "_us", ["tx_id"], "_prev_us", rows, limits))
+    return out.withColumn("time_since_last_transaction", _gap(F.col("_prev_us"))).drop("_us", "_prev_us")
 
 
 def velocity_flag(gap: Column) -> Column:

@@ -1,56 +1,32 @@
-"""Ordered pieces: split a huge ordered group so that no task holds all of it.
+"""Ordered groups of any size: a prefix scan over range partitions.
 
-A group (one key, or the whole table) is cut at quantiles of its order column.
-Rows of one piece share a task; what a row needs from earlier pieces is one
-number per piece. Cutting is by value, so rows with equal order values stay
-together and the pieces are the same however the input is partitioned.
+A window over a key sends all rows of the key to one task. That is right for keys of up to
+``hot_rows`` rows. The rows of larger keys are partitioned by range of (key, order, ties),
+so a partition holds about ``hot_rows`` of them, whatever keys they belong to, and are
+written with the number of their partition. Windows then run inside (partition, key), and
+what a row needs from earlier partitions of its key is one number: it comes from a scan over
+one summary per (partition, key) and is joined back.
+
+There is no ceiling on the number of keys or partitions: n rows give n / hot_rows of them.
+Rows that are equal in key, order and ties stay together, as their order is arbitrary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, materialise
 
-PIECES = 1024
-STRIDE = 32
-#: Rows sampled per hot group to place its cuts: about 256 per piece.
-SAMPLE = 262_144
-SEED = 42
-GRID = np.arange(1, PIECES) / PIECES
-
-
-def grid_bounds(value: Column) -> Column:
-    """Aggregate: the 1023 inner cut values. All of them occur in the column."""
-    # A numpy array becomes one array literal instead of 1023 expressions.
-    return F.percentile_approx(value, F.lit(GRID), F.lit(10_000))
-
-
-def _coarse(bounds: Column) -> Column:
-    steps = F.sequence(F.lit(1), F.lit(PIECES // STRIDE - 1))
-    return F.transform(steps, lambda i: F.get(bounds, i * STRIDE - 1))
+#: Most rows of a table of hot keys or summaries (of about 100 bytes) that is broadcast.
+SENT_ROWS = 200_000
 
 
-def _piece_index(value: Column, bounds: Column, coarse: Column) -> Column:
-    """How many cut values lie below ``value``, found in two short scans."""
-    block = F.size(F.filter(coarse, lambda b: b < value))
-    inner = F.slice(bounds, block * STRIDE + 1, F.lit(STRIDE - 1))
-    return block * STRIDE + F.size(F.filter(inner, lambda b: b < value))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/max_hot of all rows.
-
-    Fewer than ``max_hot`` keys can pass, so the result may be broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    threshold = F.greatest(F.lit(float(limits.hot_rows)), F.col("_all") / limits.max_hot)
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > threshold).drop("_all")
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast while it is counted as short."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -66,76 +42,86 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _cuts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    limits: Limits,
-    carry: Mapping[str, tuple[Column, str]],
-) -> DataFrame | None:
-    """Cut values and carried aggregates of the hot keys, or None when no key is hot.
-
-    The table is computed once and written, so that every use sees the same
-    cuts. A sample is enough for the cuts (they only balance the pieces), which
-    keeps the sketches that meet in one reducer small.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT_LIMITS, carry: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, their number ``_n`` and ``carry`` aggregates, written.
+
+    One aggregate that is partial before its shuffle. At most n / hot_rows keys can pass.
     """
-    if keys:
-        hot = F.broadcast(hot_keys(df, keys, limits))
-        rows = null_safe_join(df, hot, keys, "inner")
-    else:
-        rows = df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
-    rows = rows.withColumn("_drawn", F.rand(SEED) < F.lit(float(SAMPLE)) / F.col("_n"))
-    aggregates = [grid_bounds(F.when(F.col("_drawn"), F.col(order))).alias("_bounds")]
-    aggregates += [expr.cast(kind).alias(f"_c_{name}") for name, (expr, kind) in carry.items()]
-    table = rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
-    table = table.filter(F.col("_bounds").isNotNull()).withColumn("_coarse", _coarse(F.col("_bounds")))
-    written = materialise(table, "cuts")
-    return None if written.isEmpty() else written
-
-
-def _split(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    limits: Limits,
-    carry: Mapping[str, tuple[Column, str]],
-) -> tuple[DataFrame, bool]:
-    """``df`` with ``_piece`` and ``_hot``, and whether any key had to be split."""
-    order_type = df.schema[order].dataType.simpleString()
-    fields = [f"prev:{order_type}", *[f"{n}:{t}" for n, (_, t) in carry.items()]]
-    table = None if is_small(df, limits) else _cuts(df, keys, order, limits, carry)
-    if table is None:
-        nothing = F.lit(None).cast(f"struct<{','.join(fields)}>")
-        return df.withColumns({"_piece": F.lit(0), "_hot": nothing}), False
-
-    if keys:
-        marked = null_safe_join(df, F.broadcast(table), keys, "left")
-    else:
-        marked = df.crossJoin(F.broadcast(table))
-    hot = F.col("_bounds").isNotNull()
-    index = _piece_index(F.col(order), F.col("_bounds"), F.col("_coarse"))
-    marked = marked.withColumn("_piece", F.when(hot, index).otherwise(F.lit(0)))
-    prev = F.get(F.col("_bounds"), F.col("_piece") - 1)
-    packed = F.struct(prev.alias("prev"), *[F.col(f"_c_{n}").alias(n) for n in carry])
-    marked = marked.withColumn("_hot", F.when(hot, packed))
-    return marked.drop("_bounds", "_coarse", *[f"_c_{n}" for n in carry]), True
-
-
-def with_pieces(
+    extra = [expr.alias(name) for name, expr in (carry or {}).items()]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra)
+    return materialise(counts.filter(F.col("_n") > limits.hot_rows), "hot")
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT_LIMITS, carry: Mapping[str, Column] | None = None
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of other keys, rows of hot keys with their ``carry`` columns (or None), and the number of these."""
+    hot = hot_keys(df, keys, limits, carry)
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return df, None, 0
+    marked = sent(hot)
+    return (
+        null_safe_join(df, marked.select(*keys), keys, "left_anti"),
+        null_safe_join(df, marked.drop("_n"), keys, "inner"),
+        rows,
+    )
+
+
+def ranged(df: DataFrame, rows: int, by: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """The rows in ranges of ``by`` with the number ``_part`` of their range, written.
+
+    Writing fixes the ranges, so that all later steps and a lost executor see the same ones.
+    """
+    parts = max(2, -(-rows // max(limits.hot_rows, 1)))
+    return materialise(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
+    ties: Sequence[str],
+    name: str,
+    rows: int,
     limits: Limits = DEFAULT_LIMITS,
-    carry: Mapping[str, tuple[Column, str]] | None = None,
 ) -> DataFrame:
-    """Add ``_piece`` (0 for every key that is not hot) and ``_hot``.
-
-    ``_hot`` is NULL for other keys; for hot ones it holds ``prev``, the largest
-    order value in earlier pieces, and the ``carry`` aggregates of the key.
-    With no keys the whole table is one hot group. ``order`` must be numeric.
-    Large inputs run a small job here to find the hot keys.
-    """
-    return _split(df, keys, order, limits, carry or {})[0]
+    """Add ``name``, the order value of the row before in its key, by a scan over ranges."""
+    parted = ranged(df, rows, [*keys, order, *ties], limits)
+    inside = Window.partitionBy("_part", *keys).orderBy(order, *ties)
+    lasts = parted.groupBy("_part", *keys).agg(F.max(order).alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part"))
+    carries = materialise(lasts.select("_part", *keys, earlier.alias("_carry")), "carries")
+    joined = null_safe_join(parted, sent(carries), ["_part", *keys], "left")
+    before = F.when(F.row_number().over(inside) > 1, F.lag(order).over(inside)).otherwise(F.col("_carry"))
+    return joined.withColumn(name, before).drop("_part", "_carry")
+
+
+def _plain_totals(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+    key = Window.partitionBy(*keys)
+    upto = key.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("_w").over(upto) - F.col("_w")
+    return df.withColumn("before", before).withColumn("total", F.sum("_w").over(key)).drop("_w")
+
+
+def _scanned_totals(
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], rows: int, limits: Limits
+) -> DataFrame:
+    parted = ranged(df, rows, [*keys, order, *ties], limits)
+    upto = Window.partitionBy("_part", *keys).orderBy(order, *ties)
+    running = F.sum("_w").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")
+    # the scan over summaries: one row per range and key, n / hot_rows of them
+    sums = parted.groupBy("_part", *keys).agg(F.sum("_w").alias("_pw"))
+    by_key = Window.partitionBy(*keys)
+    so_far = F.sum("_pw").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = sums.select(
+        "_part", *keys, (so_far - F.col("_pw")).alias("_offset"), F.sum("_pw").over(by_key).alias("total")
+    )
+    offsets = sent(materialise(offsets, "offsets"))
+    joined = null_safe_join(parted, offsets, ["_part", *keys], "inner")
+    return joined.withColumn("before", F.col("_offset") + running).drop("_w", "_part", "_offset")
 
 
 def with_running_total(
@@ -148,36 +134,19 @@ def with_running_total(
 ) -> DataFrame:
     """Add ``before`` (weights of earlier rows of the key) and ``total``.
 
-    Exact for any skew: running sums inside a piece plus one offset per piece.
+    Exact for any skew: running sums inside a range plus one offset per range and key. NULL
+    keys are a key like any other, NULL order values come first.
     """
-    marked, is_split = _split(df.withColumn("_w", weight), keys, order, limits, {})
-    marked = marked.drop("_hot")
-    inside = Window.partitionBy(*keys, "_piece").orderBy(order, *ties)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum("_w").over(earlier) - F.col("_w")
-    if not is_split:
-        whole = Window.partitionBy(*keys, "_piece")
-        return (
-            marked.withColumn("before", running)
-            .withColumn("total", F.sum("_w").over(whole))
-            .drop("_w", "_piece")
-        )
-
-    # At most PIECES rows per key from here on.
-    sums = marked.groupBy(*keys, "_piece").agg(F.sum("_w").alias("_pw"))
-    by_key = Window.partitionBy(*keys)
-    up_to = by_key.orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sums.select(
-        *keys,
-        "_piece",
-        (F.sum("_pw").over(up_to) - F.col("_pw")).alias("_offset"),
-        F.sum("_pw").over(by_key).alias("total"),
-    )
-    return (
-        null_safe_join(marked, offsets, [*keys, "_piece"], "inner")
-        .withColumn("before", F.col("_offset") + running)
-        .drop("_w", "_piece", "_offset")
-    )
+    weighted = df.withColumn("_w", weight)
+    if is_small(df, limits):
+        return _plain_totals(weighted, keys, order, ties)
+    if not keys:
+        return _scanned_totals(weighted, keys, order, ties, df.count(), limits)
+    rest, hot, rows = split_hot(weighted, keys, limits)
+    plain = _plain_totals(rest, keys, order, ties)
+    if hot is None:
+        return plain
+    return plain.unionByName(_scanned_totals(hot, keys, order, ties, rows, limits))
 
 
 def with_row_number(
@@ -198,14 +167,13 @@ def salted_left_join(
     key: str,
     spread: str,
     limits: Limits = DEFAULT_LIMITS,
-    salts: int = PIECES,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join of facts to one row per key, with hot keys spread over ``salts`` tasks.
+    """Left join of facts to one row per key; a hot key goes to a task per ``hot_rows`` of its rows.
 
-    ``spread`` is a facts column with many values; the hot rows of ``table`` are
-    repeated once per salt, at most ``max_hot * salts`` rows. ``hot`` gives the
-    hot keys when they are known (at most ``max_hot``); otherwise they are counted.
+    ``spread`` is a facts column with many values. The row of a hot key in ``table`` is repeated
+    once per salt, together n / hot_rows rows. ``hot`` gives the hot keys and their numbers of
+    rows ``_n`` when they are known; otherwise they are counted.
     """
     if is_small(table, limits):
         return facts.join(F.broadcast(table), key, "left")
@@ -213,11 +181,13 @@ def salted_left_join(
         if is_small(facts, limits):
             return facts.join(table, key, "left")
         hot = hot_keys(facts, [key], limits)
-    marks = F.broadcast(hot.select(key, F.lit(True).alias("_is_hot")))
-    any_salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    every = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    # A NULL key matches nothing; give such rows any salt so they do not pile up.
-    salt = F.when(F.col("_is_hot") | F.col(key).isNull(), any_salt).otherwise(F.lit(0))
-    left = facts.join(marks, key, "left").withColumn("_salt", salt).drop("_is_hot")
-    right = table.join(marks, key, "left").withColumn("_salt", F.explode(every)).drop("_is_hot")
+    salts = F.ceil(F.col("_n") / max(limits.hot_rows, 1)).cast("int")
+    marks = sent(materialise(hot.select(key, salts.alias("_salts")), "salts"))
+    # A NULL key matches nothing; such rows get any salt so they do not pile up.
+    salt = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(
+        F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0))
+    )
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("long"))
+    left = facts.join(marks, key, "left").withColumn("_salt", salt.cast("long")).drop("_salts")
+    right = table.join(marks, key, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -5,16 +5,29 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambergrid.operators.pieces import PIECES, SAMPLE, SEED, grid_bounds, with_running_total
+from ambergrid.operators.pieces import with_running_total
 from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, plan_bytes
 
+#: Cells of the grid that brackets a rank.
+PIECES = 1024
+#: Rows sampled to place the grid: about 256 per cell.
+SAMPLE = 262_144
+SEED = 42
+GRID = np.arange(1, PIECES) / PIECES
 #: Below this many rows in the search range another narrowing pass is not worth it.
 _NARROW_ENOUGH = 1_000_000
 
 
+def grid_bounds(value: Column) -> Column:
+    """Aggregate: the 1023 inner grid values. All of them occur in the column."""
+    # A numpy array becomes one array literal instead of 1023 expressions.
+    return F.percentile_approx(value, F.lit(GRID), F.lit(10_000))
+
+
 def _margin(sample: int) -> int:
     """Grid cells to leave on each side: seven deviations of a sampled rank, and the sketch."""
     return math.ceil(7 * 0.5 / math.sqrt(sample) * PIECES) + 2

@@ -18,14 +18,12 @@ class Limits:
 
     ``small_bytes``: input whose estimated size is below this can go through a
     plain window, because even one group holding all of it fits one task.
-    ``hot_rows``: a key with fewer rows than this is never split.
-    ``max_hot``: a key is hot only above 1/max_hot of all rows, so there can be
-    at most ``max_hot`` hot keys and their table may be broadcast.
+    ``hot_rows``: a key with more rows than this is split into ranges of about
+    as many rows, so n rows have at most n / hot_rows hot keys and ranges.
     """
 
     small_bytes: int = 64 << 20
     hot_rows: int = 1_000_000
-    max_hot: int = 1_000
 
 
 DEFAULT_LIMITS = Limits()
@@ -118,5 +116,8 @@ def is_small(df: DataFrame, limits: Limits) -> bool:
     if plan_bytes(df) > limits.small_bytes:
         return False
     most = limits.small_bytes // row_bytes(df)
-    counted = df.limit(most + 1) if most < 1 << 30 else df
-    return counted.count() <= most
+    known = df.__dict__.setdefault("_ambergrid_small", {})  # one count per table and limit
+    if most not in known:
+        counted = df.limit(most + 1) if most < 1 << 30 else df
+        known[most] = counted.count() <= most
+    return known[most]

@@ -60,10 +60,7 @@ def score_features(
     if profile is not None:
         known = known.drop("user_avg_amount", "user_std_amount", "user_amount_count", "user_transaction_count")
         rows = F.col("user_transaction_count")
-        total = profile.agg(F.sum(rows).alias("_all"))
-        busy = profile.crossJoin(F.broadcast(total)).filter(
-            rows > F.greatest(F.lit(float(limits.hot_rows)), F.col("_all") / limits.max_hot)
-        )
+        busy = profile.filter(rows > limits.hot_rows).select("user_id", rows.alias("_n"))
         known = salted_left_join(known, profile, "user_id", "tx_id", limits, hot=busy)
     return point_features(known.withColumn("high_amount_flag", flag(F.col("amount") > high_amount)), risk)
 

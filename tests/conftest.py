@@ -33,4 +33,4 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def split_limits():
     """Limits that force the forms for huge and skewed tables on small data."""
-    return Limits(small_bytes=0, hot_rows=20, max_hot=200)
+    return Limits(small_bytes=0, hot_rows=100)

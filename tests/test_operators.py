@@ -43,7 +43,7 @@ def edge(spark):
 
 @pytest.fixture(scope="module", params=["plain", "split"])
 def featured(request, edge, split_limits):
-    limits = Limits() if request.param == "plain" else Limits(small_bytes=-1, hot_rows=1, max_hot=100)
+    limits = Limits() if request.param == "plain" else Limits(small_bytes=-1, hot_rows=1)
     return {r["tx_id"]: r for r in ft.transaction_features(edge, limits=limits).collect()}
 
 

@@ -41,9 +41,11 @@ def test_features_shuffle_the_table_once(spark):
     assert "props" not in text
 
 
-def test_split_features_shuffle_the_table_once(spark, split_limits):
-    text = plan(ft.with_user_history(src.transactions(spark, SF), split_limits))
-    assert len(shuffles(text)) == 1 and "_piece" in shuffles(text)[0]
+def test_split_features_shuffle_every_row_once(spark):
+    """Rows of usual users go by user, those of hot users (written in ranges) by range."""
+    text = plan(ft.with_user_history(src.transactions(spark, SF), Limits(small_bytes=0, hot_rows=70)))
+    found = shuffles(text)
+    assert len(found) == 2 and sum("_part" in keys for keys in found) == 1
 
 
 def test_lookup_join_is_broadcast(spark):
@@ -57,7 +59,7 @@ def test_topk_needs_no_full_sort(spark):
 def test_splits_of_large_tables_go_by_pieces(spark, split_limits):
     tx = src.transactions(spark, SF).select("tx_id", "is_fraud")
     split = prep.stratified_split(tx, "tx_id", "is_fraud", limits=split_limits)
-    assert any("_piece" in keys for keys in shuffles(plan(split)))
+    assert any("_part" in keys for keys in shuffles(plan(split)))
 
 
 def test_statistics_aggregate_before_the_shuffle(spark):
@@ -78,11 +80,10 @@ def test_no_single_task_window_over_the_table(spark, split_limits):
 
     numbered = with_row_number(src.transactions(spark, SF).select("tx_id"), [], "tx_id", (), split_limits)
     text = plan(numbered)
-    # One unpartitioned window may remain: over the offsets, one row per piece.
-    assert "Exchange hashpartitioning(_piece" in text
+    assert "Exchange hashpartitioning(_part" in text and "SinglePartition" not in text
 
 
 def test_limits_choose_the_form(spark):
     tx = src.transactions(spark, SF)
     assert "BroadcastHashJoin" not in plan(ft.with_time_since_last(tx))
-    assert "BroadcastHashJoin" in plan(ft.with_time_since_last(tx, Limits(0, 20, 200)))
+    assert "BroadcastHashJoin" in plan(ft.with_time_since_last(tx, Limits(0, 20)))

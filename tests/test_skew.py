@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ambergrid.operators import features as ft
 from ambergrid.operators import prepare as prep
 from ambergrid.operators.evaluate import roc_auc
-from ambergrid.operators.pieces import hot_keys, salted_left_join, with_pieces, with_row_number, with_running_total
+from ambergrid.operators import pieces
+from ambergrid.operators.pieces import hot_keys, ranged, salted_left_join, split_hot, with_row_number, with_running_total
 from ambergrid.operators.quantile import exact_quantile, grouped_quantile, order_statistic
 from ambergrid.session import Limits
 from ambergrid.sources.tables import transactions
@@ -39,24 +40,44 @@ def test_features_do_not_depend_on_the_split(skewed, split_limits):
     assert rows(plain, *columns) == rows(split, *columns)
 
 
-def test_hot_user_is_spread_over_many_pieces(skewed, split_limits):
+def test_hot_user_is_spread_over_many_ranges(skewed, split_limits):
     keyed = skewed.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    counts = with_pieces(keyed, ["user_id"], "us", split_limits).groupBy("user_id", "_piece").count()
-    largest = counts.filter("user_id = 7").agg(F.max("count"), F.count("*")).first()
-    # Only rows with equal timestamps have to stay together.
-    assert largest[1] > 500 and largest[0] < 200
+    rest, hot, n = split_hot(keyed, ["user_id"], split_limits)
+    assert n == hot.count() and rest.count() + n == skewed.count()
+    parts = ranged(hot, n, ["user_id", "us", "tx_id"], split_limits).groupBy("_part").count().collect()
+    assert len(parts) > n / split_limits.hot_rows / 2
+    assert max(r["count"] for r in parts) < 5 * split_limits.hot_rows
+
+
+def test_many_equal_keys_and_a_giant_one_give_bounded_tasks(spark):
+    """5,000 equally large keys and one with a third of the rows: no ceiling on either."""
+    limits = Limits(small_bytes=0, hot_rows=8)
+    table = spark.range(75_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).cast("long").alias("user_id"),
+        F.col("id").alias("tx_id"),
+        (F.hash("id") % 1000).cast("long").alias("us"),
+    )
+    assert hot_keys(table, ["user_id"], limits).count() == 5001
+    _, hot, n = split_hot(table, ["user_id"], limits)
+    limits = Limits(small_bytes=0, hot_rows=500)
+    parts = ranged(hot, n, ["user_id", "us", "tx_id"], limits).groupBy("_part").count().collect()
+    assert n == 75_000 and len(parts) > 100
+    assert max(r["count"] for r in parts) < 5 * 500
 
 
-def test_number_of_hot_keys_is_bounded(skewed):
-    limits = Limits(small_bytes=0, hot_rows=1, max_hot=10)
-    found = hot_keys(skewed, ["user_id"], limits).collect()
-    assert 0 < len(found) < 10
+def test_no_key_is_split_when_none_is_hot(skewed):
+    rest, hot, n = split_hot(skewed, ["user_id"], Limits(small_bytes=0))
+    assert hot is None and n == 0 and rest is skewed
 
 
-def test_no_key_is_split_when_none_is_hot(skewed):
-    keyed = skewed.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    pieces = with_pieces(keyed, ["user_id"], "us", Limits(small_bytes=0))
-    assert pieces.filter("_piece <> 0 OR _hot IS NOT NULL").isEmpty()
+def test_large_tables_of_hot_keys_are_not_broadcast(skewed, split_limits, monkeypatch):
+    plain = ft.transaction_features(skewed, ft.EVENT_RISK, Limits(small_bytes=1 << 62))
+    monkeypatch.setattr(pieces, "SENT_ROWS", 0)
+    split = ft.transaction_features(skewed, ft.EVENT_RISK, split_limits)
+    columns = ["tx_id", F.round("risk_score", 6), "time_since_last_transaction"]
+    assert rows(plain, *columns) == rows(split, *columns)
+    numbered = with_row_number(skewed, [], "tx_id", [], split_limits)
+    assert numbered.withColumn("n", F.row_number().over(Window.orderBy("tx_id"))).filter("n <> row_number").isEmpty()
 
 
 @pytest.mark.parametrize("keys", [[], ["user_id"], ["category", "channel"]])
@@ -137,7 +158,7 @@ def test_auc(skewed, split_limits):
 def test_salted_join(skewed, split_limits):
     stats = ft.user_stats(skewed)
     plain = skewed.join(stats, "user_id", "left")
-    salted = salted_left_join(skewed, stats, "user_id", "tx_id", split_limits, salts=16)
+    salted = salted_left_join(skewed, stats, "user_id", "tx_id", split_limits)
     columns = ["tx_id", "user_id", F.round("user_avg_amount", 6), "user_transaction_count"]
     assert rows(plain, *columns) == rows(salted, *columns)
 
