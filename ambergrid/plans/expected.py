@@ -321,9 +321,9 @@ EXPECTED = {
       {_cols('', 'high_amount_flag hour velocity_flag')}, round(risk_score, 6) AS risk_score,
       round(time_since_last_transaction, 6) AS time_since_last_transaction FROM feats""",
     "stream_history": f"""WITH {TX}, {GAPS},
-      seen AS (SELECT tx_id, user_id, avg(amount) OVER w AS mean, stddev_samp(amount) OVER w AS deviation, count(*) OVER w AS n
+      seen AS (SELECT tx_id, user_id, sum(amount) OVER w AS spent, stddev_samp(amount) OVER w AS deviation, count(*) OVER w AS n
         FROM tx WINDOW w AS (PARTITION BY user_id ORDER BY ts, tx_id ROWS UNBOUNDED PRECEDING))
-      SELECT tx_id, user_id, round(gap, 6) AS time_since_last_transaction, round(mean, 6) AS user_avg_amount,
+      SELECT tx_id, user_id, round(gap, 6) AS time_since_last_transaction, round(spent, 2) AS user_amount_sum,
         round(deviation, 6) AS user_std_amount, n AS user_transaction_count
       FROM seen JOIN gaps USING (tx_id)""",
     "stream_alerts": f"""WITH {SCORED_TX} SELECT tx_id, user_id, {_cols('amount rf_probability')} FROM scored
