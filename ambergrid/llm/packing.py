@@ -34,6 +34,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +69,8 @@ class Tokens:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -91,6 +91,13 @@ class Tokens:
         names = {rank: name.removesuffix("</w>") for name, rank in vocabulary.items()}
         self.closes = np.array([names.get(k, "")[-1:] in (".", "!", "?") for k in range(max(names) + 1)])
 
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, read when a text first needs it: few workers do."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def stretch(self, chars: str) -> bytes:
         found = WORDS.findall(chars.lower())
         return np.array(self.merge("\0".join([*found, ""])), "<u4").tobytes()
@@ -213,14 +220,16 @@ def packer(path: str, columns: list[str], types: list[pa.DataType]):
             pending = int(ends[-1]) - done
             return pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-        for batch in batches:
-            keys = zip(*[batch[c].to_pylist() for c in columns])
-            for key, text in zip(keys, batch["text"].to_pylist()):
-                ids = tokens.ids(text)
-                line.append((key, ids, 0))
-                pending += len(ids)
-                while pending >= BLOCK:
-                    yield solve(False)
+        for whole in batches:
+            for begin in range(0, len(whole), 256):  # few texts at a time, as they may be long
+                batch = whole.slice(begin, 256)
+                keys = zip(*[batch[c].to_pylist() for c in columns])
+                for key, text in zip(keys, batch["text"].to_pylist()):
+                    ids = tokens.ids(text)
+                    line.append((key, ids, 0))
+                    pending += len(ids)
+                    while pending >= BLOCK:
+                        yield solve(False)
         if line:
             yield solve(True)
 
