@@ -17,6 +17,15 @@ from ambergrid.plans.packaging import ship_package
 from ambergrid.session import materialise
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of an Arrow batch. Spark's own 10,000 whole texts are tens of megabytes, held several times
+#: over by the JVM and by each worker while the heap is still full of the stage before.
+BATCH_ROWS = 500
+
+
+def use_workers(spark: SparkSession) -> None:
+    """Prepare a stage that runs in Python workers: the package, and small batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word similarity 0.8 or more stays, the smallest doc_id."""
-    ship_package(spark)
+    use_workers(spark)
     found = materialise(jaccard.jaccard_groups(docs, width=5, percent=80), "groups")
     kept = filter_rows(docs, materialise(found.where("not stays").select("row_key").distinct(), "gone"), "doc_id", keep=False)
     repeated = found.where("stays").groupBy("row_key").count().where("count > 1")
@@ -36,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind; n_chars follows."""
-    ship_package(spark)
+    use_workers(spark)
     covered = docs.withColumn("text", pii.redacted(F.col("text")))
     return covered.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -48,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of sequences of 4096."""
-    ship_package(spark)
+    use_workers(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
