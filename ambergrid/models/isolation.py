@@ -1,23 +1,27 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
 Every tree sees a few hundred sampled rows, so trees are grown one per group on
-the executors and are small enough to broadcast for scoring.
+the executors and are small enough to broadcast for scoring, which Spark ML's own
+tree walk does inside the JVM.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambergrid.functions.scalar import flag, uniform
 from ambergrid.operators.quantile import exact_quantile
-from ambergrid.session import materialise
+from ambergrid.session import materialise, scratch_path
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
@@ -62,21 +66,39 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, depth_limit: int) -> d
     return {"feature": feature, "threshold": threshold, "left": left, "right": right, "value": value}
 
 
-def mean_path_length(rows: np.ndarray, trees: Sequence[dict[str, np.ndarray]]) -> np.ndarray:
-    """Average path length over all trees, one vectorised step per tree level."""
-    total = np.zeros(len(rows))
-    index = np.arange(len(rows))
+#: The parts of a tree node as Spark ML stores it.
+NODE_SCHEMA = (
+    "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, "
+    "rawCount: bigint, gain: double, leftChild: int, rightChild: int, "
+    "split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
+)
+
+
+def regression_forest(spark: SparkSession, trees: Sequence[dict], width: int) -> RandomForestRegressionModel:
+    """The trees as a forest of Spark ML whose prediction is the mean path length.
+
+    The grown trees are written in the format of stored forests and read as one, so rows are
+    scored inside the JVM by Spark's own tree walk.
+    """
+    path = scratch_path(spark, "isolation")
+    about = {"timestamp": 0, "sparkVersion": spark.version, "defaultParamMap": {"featuresCol": "features", "predictionCol": "prediction", "leafCol": "", "impurity": "variance", "labelCol": "label"}}
+    whole = {
+        "class": "org.apache.spark.ml.regression.RandomForestRegressionModel", "uid": "isolation_forest",
+        "paramMap": {"numTrees": len(trees)}, "numFeatures": width, "numTrees": len(trees), **about,
+    }
+    one = {"class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel", "paramMap": {}, **about}
+    nodes = []
     for tree in trees:
-        node = np.zeros(len(rows), dtype=np.int64)
-        while True:
-            split = tree["feature"][node]
-            inner = split >= 0
-            if not inner.any():
-                break
-            goes_left = rows[index, np.maximum(split, 0)] <= tree["threshold"][node]
-            node = np.where(inner, np.where(goes_left, tree["left"][node], tree["right"][node]), node)
-        total += tree["value"][node]
-    return total / max(len(trees), 1)
+        columns = [tree[name] for name in ("feature", "threshold", "left", "right", "value")]
+        for k, (feature, threshold, left, right, value) in enumerate(zip(*columns)):
+            split = (feature, [threshold], -1) if feature >= 0 else (-1, [], -1)
+            data = (k, float(value), 0.0, [0.0, 0.0, 0.0], 0, 0.0, left, right, split)
+            nodes.append((tree["tree"], data))
+    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.parquet(f"{path}/data")
+    heads = [(t["tree"], json.dumps({**one, "uid": f"isolation_tree_{t['tree']}"}), 1.0) for t in trees]
+    spark.createDataFrame(heads, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    return RandomForestRegressionModel.load(path)
 
 
 @dataclass
@@ -86,6 +108,7 @@ class IsolationForest:
     sample: int
     offset: float
     params: dict
+    _forest: RandomForestRegressionModel | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def fit(
@@ -141,29 +164,25 @@ class IsolationForest:
         params = {"trees": trees, "sample": sample, "contamination": contamination, "seed": seed}
         model = cls(inputs, [r.asDict() for r in grown], size, 0.0, params)
         # One scoring pass over the training rows; the quantile then reads the written scores.
-        scores = materialise(df.select((-model.anomaly(df.sparkSession)).alias("s")), "isolation-scores")
+        scores = materialise(model.with_anomaly(df, "s").select((-F.col("s")).alias("s")), "isolation-scores")
         model.offset = exact_quantile(scores, "s", contamination).first()["q"]
         return model
 
-    def anomaly(self, spark: SparkSession) -> Column:
-        """Anomaly score in (0, 1) as a vectorised expression over the input columns."""
-        arrays = [
-            {name: np.asarray(t[name]) for name in ("feature", "threshold", "left", "right", "value")}
-            for t in self.trees
-        ]
-        shared = spark.sparkContext.broadcast(arrays)
+    def with_anomaly(self, df: DataFrame, name: str = "anomaly") -> DataFrame:
+        """Add the anomaly score in (0, 1), found inside the JVM."""
+        if self._forest is None:
+            self._forest = regression_forest(df.sparkSession, self.trees, len(self.inputs))
+        forest = self._forest.setFeaturesCol("_isolation_inputs").setPredictionCol("_isolation_depth")
+        vectors = VectorAssembler(inputCols=self.inputs, outputCol="_isolation_inputs", handleInvalid="keep")
         scale = expected_depth(self.sample) or 1.0
-
-        @F.pandas_udf("double")
-        def score(*columns: pd.Series) -> pd.Series:
-            rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            return pd.Series(np.exp2(-mean_path_length(rows, shared.value) / scale))
-
-        return score(*[F.col(c).cast("double") for c in self.inputs])
+        walked = forest.transform(vectors.transform(df))
+        score = F.pow(F.lit(2.0), -F.col("_isolation_depth") / scale)
+        return walked.withColumn(name, score).drop("_isolation_inputs", "_isolation_depth")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``isolation_score`` (higher is stranger) and the 0/1 ``isolation_prediction``."""
-        scored = df.withColumn("isolation_score", self.anomaly(df.sparkSession) + F.lit(self.offset))
+        scored = self.with_anomaly(df, "isolation_score")
+        scored = scored.withColumn("isolation_score", F.col("isolation_score") + F.lit(self.offset))
         return scored.withColumn("isolation_prediction", flag(F.col("isolation_score") > 0))
 
     def save(self, spark: SparkSession, path: str) -> None:
