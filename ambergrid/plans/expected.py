@@ -295,12 +295,12 @@ EXPECTED = {
       FROM tx GROUP BY 1, 2""",
     "map_items": f"""WITH {TX} SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS item_index,
       round(amount * 2, 6) AS doubled FROM tx""",
-    "rf_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided FROM test",
-    "gbt_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided FROM test",
+    "rf_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided, true AS learned FROM test",
+    "gbt_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided, true AS learned FROM test",
     "rf_multiclass": """WITH h AS (SELECT vec_id, label,
         row_number() OVER (ORDER BY substr(md5(vec_id || '42'), 1, 15)) AS rn, count(*) OVER () AS n FROM embeddings)
       SELECT vec_id, CAST(label AS BIGINT) AS label, true AS known FROM h WHERE rn <= ceil(n * 0.3::DOUBLE)""",
-    "iforest": f"WITH {TX} SELECT tx_id, true AS in_range, true AS decided FROM tx",
+    "iforest": f"WITH {TX} SELECT tx_id, true AS in_range, true AS decided, true AS share_flagged FROM tx",
     "feature_importance": f"""WITH {TX} SELECT unnest(['amount', 'amount_log', 'amount_zscore', 'hour', 'day_of_week',
         'is_weekend', 'is_night', 'user_avg_amount', 'user_std_amount', 'user_transaction_count',
         'time_since_last_transaction', 'velocity_flag', 'merchant_risk_score', 'high_amount_flag',
@@ -309,7 +309,7 @@ EXPECTED = {
     "score_batch": f"WITH {TX} SELECT tx_id, true AS in_range, true AS weighted, true AS flagged FROM tx",
     "stream_score": f"WITH {TX} SELECT tx_id, true AS in_range, true AS weighted, true AS flagged FROM tx",
     "model_roundtrip": "SELECT event_id AS tx_id, true AS same FROM events",
-    "model_registry": "SELECT 'models/forest' AS key, 'PipelineModel' AS model_type, 'risk' AS owner, 10::BIGINT AS trees",
+    "model_registry": "SELECT 'models/forest' AS key, 'PipelineModel' AS model_type, 'risk' AS owner, 100::BIGINT AS trees",
     "stream_hourly": f"""WITH {TX}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)
       SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n, round(sum(amount), 6) AS amount
       FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",

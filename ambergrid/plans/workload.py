@@ -22,12 +22,12 @@ from ambergrid.operators import prepare as prep
 from ambergrid.operators import mapping
 from ambergrid.operators.pieces import with_row_number
 from ambergrid.operators.quantile import exact_quantile
-from ambergrid.plans.fraud import FraudModel, train_fraud_model
+from ambergrid.plans.fraud import IMPORTANCE_KEY, FraudModel, train_fraud_model
 from ambergrid.plans.multiclass import train_multiclass
 from ambergrid.plans.packaging import ship_package
 from ambergrid.plans.steplog import StepLog
 from ambergrid.registry import Registry, latest_entries, list_keys
-from ambergrid.session import materialise, scratch_path
+from ambergrid.session import materialise, scratch_path, shared_dir
 from ambergrid.sinks import append_alerts, append_metrics, write_report
 from ambergrid.sources import tables as src
 from ambergrid.sources.synthetic import generate_transactions
@@ -635,28 +635,51 @@ def _model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]
     return rows, preparation.inputs
 
 
-def _decisions(scored: DataFrame, prefix: str) -> DataFrame:
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """Name of the state of the events' files: paths, sizes and times of change."""
+    files = src.table(spark, sf_dir, "events").select(
+        F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")
+    )
+    return f"{files.distinct().agg(F.sum(F.col('h') % 1_000_000_007)).first()[0] or 0:x}"
+
+
+_fitted: dict[tuple[str, str], tuple[PipelineModel, DataFrame, list[str]]] = {}
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame, list[str]]:
+    """The default forest over the training rows, fitted once per state of the data, the rows and inputs."""
+    key = spark.sparkContext.applicationId, _version(spark, sf_dir)
+    if key not in _fitted:
+        rows, inputs = _model_table(spark, sf_dir)
+        _fitted[key] = fit_forest(prep.split_tables(rows)["train"], inputs, "is_fraud"), rows, inputs
+    return _fitted[key]
+
+
+def _decisions(model: PipelineModel, rows: DataFrame, prefix: str) -> DataFrame:
+    """Checks of the scored test rows; ``learned``: training rows are ranked better than by a constant."""
+    parts = prep.split_tables(rows)
     chance = F.col(f"{prefix}_probability")
-    return scored.select(
+    fitted = with_probability(model, parts["train"], prefix).select("is_fraud", chance)
+    learned = ev.roc_auc(fitted, "is_fraud", f"{prefix}_probability").select((F.col("auc") > 0.6).alias("learned"))
+    return with_probability(model, parts["test"], prefix).crossJoin(F.broadcast(learned)).select(
         "tx_id",
         chance.between(0, 1).alias("in_range"),
         (F.col(f"{prefix}_prediction") == F.when(chance > 0.5, 1).otherwise(0)).alias("decided"),
+        "learned",
     )
 
 
 @query
 def rf_binary(spark, sf_dir):
-    rows, inputs = _model_table(spark, sf_dir)
-    parts = prep.split_tables(rows)
-    return _decisions(with_probability(fit_forest(parts["train"], inputs, "is_fraud"), parts["test"]), "rf")
+    model, rows, _ = _forest(spark, sf_dir)
+    return _decisions(model, rows, "rf")
 
 
 @query
 def gbt_binary(spark, sf_dir):
     rows, inputs = _model_table(spark, sf_dir)
-    parts = prep.split_tables(rows)
-    model = fit_boosted(parts["train"], inputs, "is_fraud", rounds=GBT_ROUNDS)
-    return _decisions(with_probability(model, parts["test"], "gbt"), "gbt")
+    model = fit_boosted(prep.split_tables(rows)["train"], inputs, "is_fraud", rounds=GBT_ROUNDS)
+    return _decisions(model, rows, "gbt")
 
 
 @query
@@ -673,20 +696,23 @@ def rf_multiclass(spark, sf_dir):
 def iforest(spark, sf_dir):
     ship_package(spark)
     rows, inputs = _model_table(spark, sf_dir)
-    normal = rows.filter("split = 'train' AND is_fraud = 0")
-    scored = IsolationForest.fit(normal, inputs, "tx_id").transform(rows)
+    normal = (F.col("split") == "train") & (F.col("is_fraud") == 0)
+    scored = IsolationForest.fit(rows.filter(normal), inputs, "tx_id").transform(rows)
     score = F.col("isolation_score")
-    return scored.select(
+    scored = materialise(scored.select("tx_id", "split", "is_fraud", "isolation_score", "isolation_prediction"), "isolation")
+    # the share of strange rows among those that the forest was fitted on is the given one
+    share = scored.filter(normal).agg((F.abs(F.avg("isolation_prediction") - 0.02) < 0.002).alias("share_flagged"))
+    return scored.crossJoin(F.broadcast(share)).select(
         "tx_id",
         score.between(-1, 1).alias("in_range"),
         (F.col("isolation_prediction") == F.when(score > 0, 1).otherwise(0)).alias("decided"),
+        "share_flagged",
     )
 
 
 @query
 def feature_importance(spark, sf_dir):
-    rows, inputs = _model_table(spark, sf_dir)
-    model = fit_forest(prep.split_tables(rows)["train"], inputs, "is_fraud")
+    model, _, inputs = _forest(spark, sf_dir)
     ranked = materialise(top_features(model, inputs, top=None), "importance")
     total = ranked.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"))
     return ranked.crossJoin(F.broadcast(total)).select(
@@ -706,11 +732,15 @@ def _score_checks(scored: DataFrame) -> DataFrame:
 
 
 def _stored_model(spark: SparkSession, sf_dir: str) -> tuple[FraudModel, DataFrame]:
-    """A model that was trained and saved, as a later job loads it, and the features."""
+    """The stored model of this state of the data, as a later job loads it, and the features.
+
+    It is trained and saved where there is none yet; scoring again only loads it.
+    """
     featured = materialise(ft.transaction_features(src.transactions(spark, sf_dir), ft.EVENT_RISK), "features", spread=True)
-    registry = Registry(spark, scratch_path(spark, "registry"))
-    model, metrics = train_fraud_model(featured)
-    model.save(registry, metrics)
+    registry = Registry(spark, f"{shared_dir(spark)}/models-{_version(spark, sf_dir)}")
+    if not registry.exists(IMPORTANCE_KEY):  # saved last
+        model, metrics = train_fraud_model(featured)
+        model.save(registry, metrics)
     return FraudModel.load(registry), featured
 
 
@@ -720,16 +750,11 @@ def score_batch(spark, sf_dir):
     return _score_checks(model.score(featured))
 
 
-def _small_forest(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame, list[str]]:
-    rows, inputs = _model_table(spark, sf_dir)
-    return fit_forest(rows.filter("split = 'train'"), inputs, "is_fraud", trees=10, depth=5), rows, inputs
-
-
 @query
 def model_roundtrip(spark, sf_dir):
     """Whether the stored model gives every row the probability of the fitted one."""
     registry = Registry(spark, scratch_path(spark, "registry"))
-    model, rows, inputs = _small_forest(spark, sf_dir)
+    model, rows, inputs = _forest(spark, sf_dir)
     registry.save_model(model, "forest")
     fitted = with_probability(model, rows, "fitted").drop(*[f"scaled_{c}" for c in inputs])
     both = with_probability(registry.load_model("forest"), fitted, "stored")
@@ -739,7 +764,7 @@ def model_roundtrip(spark, sf_dir):
 @query
 def model_registry(spark, sf_dir):
     registry = Registry(spark, scratch_path(spark, "registry"))
-    model, _, _ = _small_forest(spark, sf_dir)
+    model, _, _ = _forest(spark, sf_dir)
     registry.save_model(model, "forest", {"owner": "risk"})
     registry.save_model(model, "old")
     registry.delete_model("old")
