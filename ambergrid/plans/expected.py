@@ -326,6 +326,8 @@ EXPECTED = {
       SELECT tx_id, user_id, round(gap, 6) AS time_since_last_transaction, round(spent, 2) AS user_amount_sum,
         round(deviation, 6) AS user_std_amount, n AS user_transaction_count
       FROM seen JOIN gaps USING (tx_id)""",
+    "profile_incremental": f"""WITH {TX} SELECT user_id, round(stddev_samp(amount), 6) AS user_std_amount,
+      count(*) AS user_transaction_count, round(sum(amount), 2) AS user_amount_sum FROM tx GROUP BY user_id""",
     "stream_alerts": f"""WITH {SCORED_TX} SELECT tx_id, user_id, {_cols('amount rf_probability')} FROM scored
       WHERE rf_probability > 0.9::DOUBLE""",
 }

@@ -34,6 +34,7 @@ from ambergrid.sources.synthetic import generate_transactions
 from ambergrid.streaming import common as stream_common
 from ambergrid.streaming import jobs
 from ambergrid.streaming.history import with_user_history
+from ambergrid.streaming.profile import ProfileStore, profile_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -862,6 +863,20 @@ def stream_history(spark, sf_dir):
     return neat(spark.read.schema(known.schema).parquet(out))
 
 
+@query
+def profile_incremental(spark, sf_dir):
+    """The user profile after the stream's micro-batches were merged one by one."""
+    store = ProfileStore(spark, scratch_path(spark, "profile-store"))
+    _drain(profile_batches(_parts(spark, sf_dir), store, scratch_path(spark, "profile-state")))
+    profile = store.profile()
+    return neat(
+        profile.select(
+            "user_id", "user_std_amount", "user_transaction_count",
+            F.round(F.col("user_avg_amount") * F.col("user_amount_count"), 2).alias("user_amount_sum"),
+        )
+    )
+
+
 @query
 def stream_alerts(spark, sf_dir):
     out, state = scratch_path(spark, "stream-alerts"), scratch_path(spark, "stream-alerts-state")

@@ -80,18 +80,6 @@ class UserHistory(StatefulProcessor):
         )
 
 
-def history_of(tx: DataFrame) -> DataFrame:
-    """(user_id, last_us, rows, n, mean, m2) of earlier transactions, to start the state with."""
-    amount = F.col("amount")
-    return tx.filter("user_id IS NOT NULL").groupBy("user_id").agg(
-        F.max(micros(F.col("ts"))).alias("last_us"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count(amount).alias("n"),
-        F.coalesce(F.avg(amount), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_pop(amount) * F.count(amount), F.lit(0.0)).alias("m2"),
-    )
-
-
 def use_state_store(spark: SparkSession) -> None:
     """The state store that keyed processors need; queries that began with another keep theirs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
@@ -103,7 +91,7 @@ def with_user_history(stream: DataFrame, earlier: DataFrame | None = None) -> Da
     Adds ``time_since_last_transaction``, ``user_avg_amount``, ``user_std_amount``,
     ``user_amount_count`` and ``user_transaction_count``. Columns must be of simple types; they
     travel as text, so that NULLs and large integers come back as they were. ``earlier`` is
-    a table by ``history_of``.
+    a table of moments (``moments_of``, or the store of a profile).
     """
     use_state_store(stream.sparkSession)
     fields = [f for f in stream.schema.fields if f.name not in ("user_id", "tx_id", "ts")]

@@ -15,7 +15,8 @@ from ambergrid.plans.fraud import FraudModel, train_fraud_model
 from ambergrid.session import Limits
 from ambergrid.sources import tables as src
 from ambergrid.streaming import common, jobs
-from ambergrid.streaming.history import history_of, running_moments, with_user_history
+from ambergrid.streaming.history import running_moments, with_user_history
+from ambergrid.streaming.profile import moments_of
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -111,7 +112,7 @@ def test_history_starts_the_state(spark, tmp_path):
     """A stream that goes on after a stored history sees what a batch over both would see."""
     rows = rows_of(5)
     past, rest = rows[:300], rows[300:]
-    earlier = history_of(src.events_as_transactions(spark.createDataFrame(past, SCHEMA)))
+    earlier = moments_of(src.events_as_transactions(spark.createDataFrame(past, SCHEMA)))
     known = with_user_history(write_parts(spark, tmp_path / "in", rest, 3), earlier)
     got, _ = drained(spark, known.select("tx_id", "time_since_last_transaction"), tmp_path, "out")
     whole = ft.with_time_since_last(src.events_as_transactions(spark.createDataFrame(rows, SCHEMA)))
