@@ -117,6 +117,7 @@ _FEATURE_LONGS = (
 
 EXPECTED = {
     "src_parquet": "SELECT * FROM orders",
+    "src_csv_inferred": "SELECT * FROM orders",
     "src_csv": "SELECT * FROM orders",
     "load_day": f"WITH {TX} SELECT * FROM tx WHERE ts >= '2024-01-15' AND ts < '2024-01-16'",
     "load_last_hour": f"WITH {TX} SELECT * FROM tx WHERE ts >= '2024-01-15 11:00:00' AND ts < '2024-01-15 12:00:00'",
@@ -313,6 +314,12 @@ EXPECTED = {
     "stream_hourly": f"""WITH {TX}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)
       SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n, round(sum(amount), 6) AS amount
       FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",
+    "stream_late": f"""WITH {TX}, m AS (SELECT max(ts) FILTER (WHERE tx_id % 50 <> 0) - INTERVAL 10 MINUTE AS before,
+        max(ts) - INTERVAL 10 MINUTE AS mark FROM tx)
+      SELECT date_trunc('hour', ts) AS window_start, category, count(*) AS n,
+        count(*) FILTER (WHERE tx_id % 50 = 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= before) AS n_late,
+        round(sum(amount), 6) AS amount
+      FROM tx CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",
     "stream_velocity": f"""WITH {TX}, {GAPS} SELECT tx_id, user_id, round(gap, 6) AS gap_seconds
       FROM gaps JOIN tx USING (tx_id)""",
     "stream_velocity_bulk": f"""WITH {TX}, {GAPS} SELECT tx_id, user_id, round(gap, 6) AS gap_seconds

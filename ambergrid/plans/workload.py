@@ -34,6 +34,7 @@ from ambergrid.sources.synthetic import generate_transactions
 from ambergrid.streaming import common as stream_common
 from ambergrid.streaming import jobs
 from ambergrid.streaming.history import with_user_history
+from ambergrid.streaming.late import count_batches, hour_counts
 from ambergrid.streaming.profile import ProfileStore, profile_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,14 @@ def src_csv(spark, sf_dir):
     return src.read_csv(spark, path, orders.schema)
 
 
+@query
+def src_csv_inferred(spark, sf_dir):
+    orders = src.table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "orders-csv")
+    orders.write.option("header", True).csv(path)
+    return src.read_csv(spark, path)
+
+
 @query
 def load_day(spark, sf_dir):
     return src.load_day(src.transactions(spark, sf_dir), DAY)
@@ -815,6 +824,23 @@ def stream_hourly(spark, sf_dir):
     return neat(spark.read.schema(counts.schema).parquet(out))
 
 
+def _late_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of two files: every 50th event comes after all others."""
+    events, path = src.table(spark, sf_dir, "events"), scratch_path(spark, "late-parts")
+    delayed = F.col("event_id") % 50 == 0
+    for part in (~delayed, delayed):
+        events.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return stream_common.event_stream(spark, path, maxFilesPerTrigger="1")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Closed hours after late rows have amended them, and how many of their rows came late."""
+    path = scratch_path(spark, "late")
+    _drain(count_batches(_late_feed(spark, sf_dir), path, scratch_path(spark, "late-state")))
+    return neat(hour_counts(spark, path), "window_start", "category", "n", "n_late", "amount")
+
+
 @query
 def stream_velocity(spark, sf_dir):
     ship_package(spark)

@@ -42,12 +42,55 @@ def read_parquet(spark: SparkSession, path: str, schema: str | StructType | None
     return reader.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """CSV with a header row. Without a schema Spark infers it in an extra pass."""
-    reader = spark.read.option("header", True)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+#: Types a CSV column can have, from narrow to wide, and the texts they are written as. A text may
+#: fit several; a column has the first type that all its texts fit, and is a string otherwise.
+_WHOLE = r"[+-]?[0-9]{1,19}"
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TIME = rf"{_DAY}[ T][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]{{1,6}})?)?"
+CSV_TYPES = [
+    ("boolean", r"(?i)true|false"),
+    ("bigint", _WHOLE),
+    ("double", rf"{_WHOLE}|[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity"),
+    ("date", _DAY),
+    ("timestamp_ntz", rf"{_DAY}|{_TIME}"),
+    ("timestamp", rf"{_DAY}|{_TIME}(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?"),
+]
+
+
+def csv_types(texts: DataFrame) -> dict[str, str]:
+    """Type of every column of texts, by one aggregate over them.
+
+    Each text gives a set of types it can be read as, one bit per type. The sets of a column
+    are intersected, so partial results merge in any order. Columns without any text are strings.
+    """
+
+    def fits(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        bits = F.lit(0)
+        for k, (kind, pattern) in enumerate(CSV_TYPES):
+            good = value.rlike(f"^({pattern})$") & value.try_cast(kind).isNotNull()
+            bits = bits + F.when(good, F.lit(1 << k)).otherwise(F.lit(0))
+        return F.bit_and(F.when(value.isNotNull(), bits))
+
+    if not texts.columns:
+        return {}
+    found = texts.agg(*[fits(name).alias(f"c{k}") for k, name in enumerate(texts.columns)]).first()
+    kinds = [kind for kind, _ in CSV_TYPES]
+    return {
+        name: kinds[(bits & -bits).bit_length() - 1] if bits else "string" for name, bits in zip(texts.columns, found)
+    }
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None, **options: str) -> DataFrame:
+    """CSV with a header row. Without a schema the types are found in an extra pass over all rows.
+
+    Short rows have NULLs at their end, surplus fields are left out, empty fields are NULL.
+    """
+    reader = spark.read.options(header="true", **options)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    texts = reader.csv(path)
+    return texts.select(*[F.col(f"`{name}`").try_cast(kind).alias(name) for name, kind in csv_types(texts).items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
