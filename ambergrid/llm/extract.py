@@ -2,14 +2,24 @@
 
 A page is read into a tree with the usual repairs (implied end tags, unclosed elements,
 raw script and style text). Menus, forms, adverts, notices, comments and the like are
-taken out by element and by class or id cues. Every text block then passes points for its
-length and commas to its ancestors, halved at each step and discounted by the share of
-link text. The container with the most points is kept. Inside an article or main element every
-other text block of that element is kept too, whatever its length, unless it is mostly links;
-so are the articles beside an article. Elsewhere siblings are kept by the same rule, except
-that generic containers right below the body need a fifth of the best one's points.
-
-Defined results: NULL, empty and text-free pages give the empty string. Nothing is cut.
+taken out by element and by class or id cues. A cue is a whole name (``sidebar``) or one
+made of cue and layout words (``cookie-notice``, ``site-footer``); ``has-sidebar``,
+``related-reading`` or ``social-science`` are none. What a cue or a form marks stays all the
+same if it holds an article or main element, or, on a page without any, most of the text
+outside links: then it is the frame of the page and its parts are judged on their own.
+
+Every text block passes points for its length and commas to its ancestors, halved at each
+step and discounted by the share of link text. The container with the most points is kept.
+Inside an article or main element every other text block of that element is kept too,
+whatever its length, unless it is mostly links; so are the articles beside an article.
+Elsewhere siblings are kept by the same rule, except that generic containers right below
+the body need a fifth of the best one's points.
+
+All steps are single passes over the tree from the root down or from the leaves up, so
+time grows with the size of a page, however deep it nests.
+
+Defined results: NULL, empty and text-free pages give the empty string. Repeated rows give
+equal texts, an empty table an empty one. Nothing is cut.
 """
 
 from __future__ import annotations
@@ -54,6 +64,23 @@ UNWANTED = frozenset(
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget banner complementary contentinfo "
     "search alert copyright".split()
 )
+#: Words that join cue words to longer names without changing their meaning.
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cell center col column columns "
+    "container content count entry fixed form global group head heading holder icon icons inline inner item items "
+    "label left link links list lists main mobile module modules more outer overlay page panel post posts primary "
+    "region right row secondary section site slot sticky story tab tabs text title top unit wrap wrapper zone "
+    "sm md lg xl".split()
+)
+#: Words that say something of the element's surroundings, not of itself.
+ABOUT = frozenset("has no not with without is".split())
+#: Cues that a heading may carry as a part of the text.
+HEADLINE = frozenset("header masthead banner notice notices alert search login social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are given up unless they hold the page's text.
+FRAMES = frozenset("form fieldset dialog".split())
+#: Cues whose elements never hold the article, however long they are.
+TALK = frozenset("comment comments disqus replies reply respond".split())
 #: Boxes without a meaning of their own.
 CONTAINERS = frozenset("div section center".split())
 WANTED = frozenset("article body content entry main post story text".split())
@@ -62,94 +89,164 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PIECES = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+#: Why an element may be given up: by its kind, as a frame or by a name, or by a name of reader comments.
+HARD, SOFT, READERS = 1, 2, 3
+
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "bonus", "score", "linked", "length")
+    __slots__ = ("tag", "parent", "base", "children", "drop", "named", "bonus", "linked_in", "good", "plain", "score", "linked", "length", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0) -> None:
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    def __init__(self, tag: str, parent: Node | None, drop: int = 0, named: bool = False, bonus: float = 0.0) -> None:
+        self.tag, self.parent, self.drop, self.named, self.bonus = tag, parent, drop, named, bonus
+        #: the nearest element around that is not inline
+        self.base = parent if parent is None or parent.tag not in INLINE else parent.base
         self.children: list[Node | str] = []
         self.score = 0.0
-        self.linked = self.length = 0
+        self.plain = self.linked = self.length = 0
+        self.linked_in = self.good = self.kept = False
 
 
-def cues(attributes: str) -> tuple[bool, float]:
-    """Whether class, id or role mark unwanted text, and the bonus of wanted names."""
-    if not attributes or ("=" not in attributes and "hidden" not in attributes):
-        return False, 0.0
-    if HIDDEN.search(attributes):
-        return True, 0.0
-    named: set[str] = set()
+def cues(tag: str, attributes: str) -> tuple[int, bool, float]:
+    """Reason to give the element up (0 if none), whether it is by name, and the bonus of its names."""
+    if not attributes:
+        return 0, False, 0.0
+    reason, wanted, doubtful = 0, False, False
     for found in ATTRIBUTE.finditer(attributes):
-        value = next(v for v in (found[2], found[3], found[4], "") if v is not None)
-        named.update(p.lower() for p in PIECES.findall(CAMEL.sub(" ", value)))
-    return bool(named & UNWANTED), 5.0 if named & WANTED else 0.0
-
-
-def parse(page: str) -> Node:
-    root = Node("root", None)
-    here, at, size = root, 0, len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        if found is None:
-            here.children.append(entities.unescape(page[at:]))
-            break
-        if found.start() > at:
-            here.children.append(entities.unescape(page[at : found.start()]))
-        at = found.end()
-        if found[2] is None:
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            here = close(here, tag)
-            continue
-        here = make_room(here, tag)
-        unwanted, bonus = cues(found[3])
-        # a page's body or an article is not given up for a name
-        keeps = tag in ("html", "body", "article", "main")
-        node = Node(tag, here, here.dropped or tag in DROPPED or (unwanted and not keeps), bonus)
-        here.children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not found[3].endswith("/"):
-            here = node
-    return root
-
-
-def close(here: Node, tag: str) -> Node:
-    """The open element after an end tag; an end tag without a start is ignored."""
-    node = here
-    while node.parent is not None and node.tag != tag:
-        if tag in INLINE and node.tag not in INLINE:
-            return here
-        node = node.parent
-    return node.parent if node.parent is not None else here
-
-
-def make_room(here: Node, tag: str) -> Node:
-    """The element that takes a new child, after the end tags that it implies."""
-    if tag in CLOSES_P:
-        node = here
-        while node.parent is not None and (node.tag in INLINE or node.tag == "p"):
-            if node.tag == "p":
-                return node.parent
+        name = found[1].lower()
+        value = next((v for v in (found[2], found[3], found[4]) if v is not None), "")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return HARD, False, 0.0
+        if name == "style" and HIDING.search(value):
+            return HARD, False, 0.0
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                parts = {p.lower() for p in PIECES.findall(CAMEL.sub(" ", word))}
+                marks = parts & UNWANTED
+                if parts & ABOUT:
+                    continue
+                if not marks:
+                    wanted = wanted or bool(parts & WANTED)
+                elif not parts <= UNWANTED | LAYOUT:
+                    doubtful = True
+                    wanted = wanted or bool(parts & WANTED)
+                elif not (tag in HEADINGS and marks <= HEADLINE):
+                    reason = max(reason, READERS if marks & TALK else SOFT)
+    return reason, reason > 0, 5.0 if wanted else -2.0 if doubtful else 0.0
+
+
+class Page:
+    """The tree of a page while it is read: ``nodes`` come before the nodes inside them."""
+
+    def __init__(self, text: str) -> None:
+        self.root = Node("root", None)
+        self.nodes = [self.root]
+        self.here = self.root
+        #: open elements per tag, and inline ones per tag and block around them
+        self.open: dict = {}
+        self._read(text)
+
+    def _read(self, page: str) -> None:
+        at, size = 0, len(page)
+        while at < size:
+            found = TOKEN.search(page, at)
+            if found is None:
+                self.here.children.append(entities.unescape(page[at:]))
+                break
+            if found.start() > at:
+                self.here.children.append(entities.unescape(page[at : found.start()]))
+            at = found.end()
+            if found[2] is None:
+                continue
+            tag = found[2].lower()
+            if found[1]:
+                self._close(tag)
+                continue
+            self._make_room(tag)
+            reason, named, bonus = cues(tag, found[3])
+            if tag in FRAMES:
+                reason = max(reason, SOFT)
+            elif tag in DROPPED:
+                reason = HARD
+            elif named and tag in ("html", "body", "article", "main"):
+                reason = 0  # not given up for a name
+            node = Node(tag, self.here, reason, named, bonus)
+            self.here.children.append(node)
+            self.nodes.append(node)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
+                at = end.end() if end else size
+            elif tag not in VOID and not found[3].endswith("/"):
+                self._count(node, 1)
+                self.here = node
+
+    def _count(self, node: Node, step: int) -> None:
+        self.open[node.tag] = self.open.get(node.tag, 0) + step
+        if node.tag in INLINE:
+            key = id(node.base), node.tag
+            self.open[key] = self.open.get(key, 0) + step
+
+    def _leave(self, node: Node) -> None:
+        """Go on in ``node``, an element around the present one; those between are closed."""
+        while self.here is not node:
+            self._count(self.here, -1)
+            self.here = self.here.parent
+
+    def _close(self, tag: str) -> None:
+        """An end tag without a start is ignored; that of an inline element reaches to the block around it."""
+        if tag in INLINE:
+            base = self.here.base if self.here.tag in INLINE else self.here
+            if not self.open.get((id(base), tag)):
+                return
+        elif not self.open.get(tag):
+            return
+        node = self.here
+        while node.tag != tag:
             node = node.parent
-    if tag in IMPLIED:
-        ended, within = IMPLIED[tag]
-        node, last = here, None
-        while node.parent is not None and node.tag not in within:
-            if node.tag in ended:
-                last = node
-            node = node.parent
-        if last is not None:
-            return last.parent
-    return here
+        self._leave(node.parent)
+
+    def _make_room(self, tag: str) -> None:
+        """Close what a start tag ends."""
+        if tag in CLOSES_P:
+            base = self.here.base if self.here.tag in INLINE else self.here
+            if base.tag == "p":
+                self._leave(base.parent)
+                return
+        if tag in IMPLIED:
+            ended, within = IMPLIED[tag]
+            left = sum(self.open.get(t, 0) for t in ended)
+            node, last = self.here, None
+            while left and node.parent is not None and node.tag not in within:
+                if node.tag in ended:
+                    last, left = node, left - 1
+                node = node.parent
+            if last is not None:
+                self._leave(last.parent)
+
+
+def settle(page: Page) -> None:
+    """Decide which marked elements stay, as the frame of the page's text."""
+    hidden = {id(page.root): False}
+    for node in page.nodes[1:]:
+        node.linked_in = node.parent.linked_in or node.tag == "a"
+        hidden[id(node)] = hidden[id(node.parent)] or node.drop == HARD
+    for node in reversed(page.nodes):
+        if not node.linked_in and not hidden[id(node)]:
+            node.plain += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.good = node.good or (node.tag in ("article", "main") and not node.named)
+        if node.drop in (SOFT, READERS) and node.good:
+            node.drop = 0
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.good = node.parent.good or (node.good and not node.drop)
+    if not page.root.good:
+        for node in page.nodes:
+            if node.drop == SOFT and 2 * node.plain > page.root.plain:
+                node.drop = 0
 
 
 def blocks(top: Node) -> list[tuple[Node, str, int]]:
@@ -175,7 +272,7 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
             stack.pop()
             if node.tag not in INLINE:
                 flush()
-                holder = next((n[0] for n in reversed(stack) if n[0].tag not in INLINE), top)
+                holder = node.base or top
             continue
         stack[-1][1] += 1
         child = node.children[k]
@@ -184,7 +281,7 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
             linked += len(child.strip()) if link else 0
         elif child.tag == "br" or child.tag == "hr":
             pending.append(" ")
-        elif not child.dropped:
+        elif not child.drop:
             if child.tag not in INLINE:
                 flush()
                 holder = child
@@ -203,44 +300,46 @@ def main_text(page: str | None) -> str:
     """Text of the article, its blocks joined by one space."""
     if not page:
         return ""
-    root = parse(page)
-    found = blocks(root)
+    tree = Page(page)
+    settle(tree)
+    found = blocks(tree.root)
     if not found:
         return ""
-    touched: dict[int, Node] = {}
     for holder, text, linked in found:
-        share, node, step = points(text, linked), holder, 0
+        node = holder
         if holder.tag not in ("article", "main", "section", "body", "div"):
             node = holder.parent or holder  # a paragraph's points go to its container
-        while node is not None:
-            node.score += share / (1 << min(step, 60))
-            touched[id(node)] = node
-            node, step = node.parent, step + 1
-        node = holder
-        while node is not None:
-            node.length += len(text)
-            node.linked += linked
-            node = node.parent
-    for node in touched.values():
+        node.score += points(text, linked)
+        holder.length += len(text)
+        holder.linked += linked
+    touched = []
+    for node in reversed(tree.nodes):  # from the leaves up: half of the points go on to the parent
+        if node.parent is not None:
+            node.parent.score += node.score / 2
+            node.parent.length += node.length
+            node.parent.linked += node.linked
+        if node.score > 0 and node.length:
+            touched.append(node)
+    for node in touched:
         node.score += node.bonus + (10.0 if node.tag in ("article", "main") else 0.0)
         node.score *= 1 - node.linked / max(node.length, 1)
-    best = max(touched.values(), key=lambda n: n.score)
-    kept = {id(best)}
+    best = max(reversed(touched), key=lambda n: n.score, default=tree.root)
+    best.kept = True
     above = risen(best)
     for parent in above:
         whole = parent.tag not in ("body", "html", "root")
         for sibling in parent.children:
-            if isinstance(sibling, Node) and not sibling.dropped and 2 * sibling.linked < sibling.length:
+            if isinstance(sibling, Node) and not sibling.drop and 2 * sibling.linked < sibling.length:
                 if whole or sibling.tag not in CONTAINERS or sibling.score >= 0.2 * best.score:
-                    kept.add(id(sibling))
+                    sibling.kept = True
     loose = {id(parent) for parent in above}
-    kept -= loose
+    for parent in above:
+        parent.kept = False
+    for node in tree.nodes[1:]:
+        node.kept = node.kept or node.parent.kept
     texts = []
     for holder, text, linked in found:
-        node: Node | None = holder
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is not None or (id(holder) in loose and holder.tag not in ("body", "html", "root") and 2 * linked < len(text)):
+        if holder.kept or (id(holder) in loose and holder.tag not in ("body", "html", "root") and 2 * linked < len(text)):
             texts.append(text)
     return " ".join(texts)
 

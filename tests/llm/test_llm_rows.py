@@ -1,6 +1,7 @@
 """Operators that judge each row: pages, licences, personal data, languages, quality, mixing, packing."""
 
 import random
+import time
 import zlib
 
 import brute
@@ -85,6 +86,47 @@ def test_odd_pages(page, text):
     assert extract.main_text(page) == text
 
 
+PARA = "This is a sentence of the article, with words, that goes on. " * 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div id="page" class="site has-sidebar"><article><p>{PARA}</p></article></div>',
+        f'<div class="content no-sidebar"><p>{PARA}</p></div>',
+        f'<div class="entry-content related-reading"><p>{PARA}</p></div>',
+        f'<form id="aspnetForm" method="post"><div><p>{PARA}</p></div><input name="q"></form>',
+        f'<form class="search-form"><main><p>{PARA}</p></main></form>',
+        f'<div class="sidebar"><p>{PARA}</p></div>',
+        f'<div class="comments-open"><p>{PARA}</p></div>',
+        f'<div class="promo"><article><p>{PARA}</p></article><div class="ad">Buy, buy, buy.</div></div>',
+        f'<article><p title="a hidden gem">{PARA}</p><p hidden>Unseen.</p><p style="display: none">Unseen.</p></article>',
+        f'<article><p class="social-science">{PARA}</p><p aria-hidden="true">Unseen.</p></article>',
+        f'<article><p>{PARA}</p></article><div id="comments"><li class="comment"><article class="comment-body"><p>{PARA * 9}</p></article></li></div>',
+        f'<div><p>{PARA}</p></div><div class="comments"><p>{PARA * 9}</p></div>',
+        f'<article><p>{PARA}</p></article><div class="site-footer"><p>{PARA * 3}</p></div><form><p>{PARA * 3}</p></form>',
+    ],
+)
+def test_page_frames(page):
+    assert extract.main_text(f"<html><body><nav>Home</nav>{page}</body></html>") == PARA.strip()
+
+
+def test_headlines_with_cue_names():
+    page = f'<article><h1 class="post-header">The headline</h1><p>{PARA}</p><h2 class="ad">Bargain</h2></article>'
+    assert extract.main_text(page) == f"The headline {PARA.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>text " * 100_000, "<b>x" * 100_000 + "<div></div>" * 50_000, "<i>" + "<b>" * 50_000 + "</i></u>" * 50_000 + "t",
+     "<div>" * 50_000 + "<li>x" * 50_000 + "</section>" * 50_000, "<p>" * 100_000 + "t", "<table><tr><td>" * 30_000 + "t"],
+)
+def test_deep_pages_take_linear_time(page):
+    began = time.perf_counter()
+    assert extract.main_text(page)
+    assert time.perf_counter() - began < 6  # quadratic steps would take minutes
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for row in pages.withColumn("found", extract.extract_text(F.col("html"))).collect():
