@@ -7,7 +7,6 @@ tree walk does inside the JVM.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -20,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambergrid.functions.scalar import flag, uniform
+from ambergrid.models.stored import NODES, stored_forest
 from ambergrid.operators.quantile import exact_quantile
-from ambergrid.session import materialise, scratch_path
+from ambergrid.session import materialise
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
@@ -66,39 +66,15 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, depth_limit: int) -> d
     return {"feature": feature, "threshold": threshold, "left": left, "right": right, "value": value}
 
 
-#: The parts of a tree node as Spark ML stores it.
-NODE_SCHEMA = (
-    "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, "
-    "rawCount: bigint, gain: double, leftChild: int, rightChild: int, "
-    "split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
-)
-
-
 def regression_forest(spark: SparkSession, trees: Sequence[dict], width: int) -> RandomForestRegressionModel:
-    """The trees as a forest of Spark ML whose prediction is the mean path length.
-
-    The grown trees are written in the format of stored forests and read as one, so rows are
-    scored inside the JVM by Spark's own tree walk.
-    """
-    path = scratch_path(spark, "isolation")
-    about = {"timestamp": 0, "sparkVersion": spark.version, "defaultParamMap": {"featuresCol": "features", "predictionCol": "prediction", "leafCol": "", "impurity": "variance", "labelCol": "label"}}
-    whole = {
-        "class": "org.apache.spark.ml.regression.RandomForestRegressionModel", "uid": "isolation_forest",
-        "paramMap": {"numTrees": len(trees)}, "numFeatures": width, "numTrees": len(trees), **about,
-    }
-    one = {"class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel", "paramMap": {}, **about}
+    """The trees as a forest of Spark ML whose prediction is the mean path length."""
     nodes = []
-    for tree in trees:
-        columns = [tree[name] for name in ("feature", "threshold", "left", "right", "value")]
-        for k, (feature, threshold, left, right, value) in enumerate(zip(*columns)):
-            split = (feature, [threshold], -1) if feature >= 0 else (-1, [], -1)
-            data = (k, float(value), 0.0, [0.0, 0.0, 0.0], 0, 0.0, left, right, split)
-            nodes.append((tree["tree"], data))
-    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.parquet(f"{path}/data")
-    heads = [(t["tree"], json.dumps({**one, "uid": f"isolation_tree_{t['tree']}"}), 1.0) for t in trees]
-    spark.createDataFrame(heads, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    return RandomForestRegressionModel.load(path)
+    for number, tree in enumerate(trees):
+        columns = [tree[name] for name in ("value", "left", "right", "feature", "threshold")]
+        for k, (value, left, right, feature, threshold) in enumerate(zip(*columns)):
+            nodes.append((number, k, float(value), [0.0, 0.0, 0.0], left, right, feature, float(threshold)))
+    table = spark.createDataFrame(nodes, NODES).coalesce(1)
+    return stored_forest(table, RandomForestRegressionModel, len(trees), width)
 
 
 @dataclass

@@ -300,7 +300,7 @@ EXPECTED = {
     "gbt_binary": f"{TEST_ROWS} SELECT tx_id, true AS in_range, true AS decided, true AS learned FROM test",
     "rf_multiclass": """WITH h AS (SELECT vec_id, label,
         row_number() OVER (ORDER BY substr(md5(vec_id || '42'), 1, 15)) AS rn, count(*) OVER () AS n FROM embeddings)
-      SELECT vec_id, CAST(label AS BIGINT) AS label, true AS known FROM h WHERE rn <= ceil(n * 0.3::DOUBLE)""",
+      SELECT vec_id, CAST(label AS BIGINT) AS label, true AS known, true AS learned FROM h WHERE rn <= ceil(n * 0.3::DOUBLE)""",
     "iforest": f"WITH {TX} SELECT tx_id, true AS in_range, true AS decided, true AS share_flagged FROM tx",
     "feature_importance": f"""WITH {TX} SELECT unnest(['amount', 'amount_log', 'amount_zscore', 'hour', 'day_of_week',
         'is_weekend', 'is_night', 'user_avg_amount', 'user_std_amount', 'user_transaction_count',
