@@ -17,6 +17,10 @@ from ambergrid.session import DEFAULT_LIMITS, Limits
 #: Default gap for a user's first transaction: one hour.
 FIRST_GAP_SECONDS = 3600.0
 PAYMENT_PREFIX = "payment_"
+#: Channels that get an indicator of their own; where there are more, all share hashed indicators.
+NAMED_LEVELS = 100
+HASHED_PREFIX = "payment#"
+HASHED_LEVELS = 64
 
 
 def drop_nulls(df: DataFrame) -> DataFrame:
@@ -42,6 +46,11 @@ def distinct_levels(df: DataFrame, column: str, most: int = 1000) -> list:
     return sorted(r[0] for r in rows)
 
 
+def hashed_level(column: str, slots: int) -> Column:
+    """Slot of a level by its hash, for any number of levels, unseen ones included; NULL has none."""
+    return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(slots)))
+
+
 def one_hot(column: str, levels: Sequence, prefix: str) -> list[Column]:
     """One 0/1 column per level; NULL and unseen levels are 0 everywhere."""
     return [flag(F.col(column) == F.lit(v)).alias(f"{prefix}_{v}") for v in levels]
@@ -56,12 +65,19 @@ def align(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> D
 
 @dataclass(frozen=True)
 class Preparation:
-    """The ordered model columns learned from training rows; scoring uses the same object."""
+    """The ordered model columns learned from training rows; scoring uses the same object.
+
+    Up to ``NAMED_LEVELS`` channels have an indicator each, and unseen ones none. More of them
+    share ``HASHED_LEVELS`` indicators by hash, which unseen ones fall into as well. NULL has none.
+    """
 
     features: list[str]
 
     @classmethod
     def fit(cls, featured: DataFrame) -> "Preparation":
+        known = featured.select("channel").filter("channel IS NOT NULL").distinct().limit(NAMED_LEVELS + 1).count()
+        if known > NAMED_LEVELS:
+            return cls([*MODEL_FEATURES, *[f"{HASHED_PREFIX}{k}" for k in range(HASHED_LEVELS)]])
         levels = distinct_levels(featured, "channel")
         return cls([*MODEL_FEATURES, *[f"{PAYMENT_PREFIX}{v}" for v in levels]])
 
@@ -74,6 +90,8 @@ class Preparation:
             default = FIRST_GAP_SECONDS if feature == "time_since_last_transaction" else 0.0
             value = F.col(feature).cast("double")
             return F.coalesce(F.when(~F.isnan(value), value), F.lit(default))
+        if feature.startswith(HASHED_PREFIX) and "channel" in df.columns:
+            return flag(hashed_level("channel", HASHED_LEVELS) == int(feature.removeprefix(HASHED_PREFIX))).cast("double")
         if feature.startswith(PAYMENT_PREFIX) and "channel" in df.columns:
             return flag(F.col("channel") == feature.removeprefix(PAYMENT_PREFIX)).cast("double")
         return F.lit(0.0)

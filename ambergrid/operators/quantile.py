@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambergrid.operators.pieces import with_running_total
-from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, plan_bytes
+from ambergrid.session import DEFAULT_LIMITS, Limits, is_small, materialise, plan_bytes
 
 #: Cells of the grid that brackets a rank.
 PIECES = 1024
@@ -53,8 +53,9 @@ def order_statistic(
     One row per key: keys..., ``rank``, ``low``, ``high``. A sampled sketch
     brackets the rank, each pass over the column narrows the bracket, and only
     the distinct values left inside are ordered. The ranks themselves are
-    counted, so the result is exact; a bracket that misses raises an error.
-    Keys must be few (class labels): their table is broadcast.
+    counted, so the result is exact. Whether a bracket missed is known from the
+    counts; then all distinct values are ordered by a scan over ranges instead.
+    Keys must be few (class labels): their table is broadcast. Runs its jobs here.
     """
     values = df.select(*keys, F.col(column).alias("_x")).filter(F.col("_x").isNotNull())
     kind = values.schema["_x"].dataType
@@ -118,12 +119,34 @@ def order_statistic(
     )
     valid = F.col("rank") >= 0
     missed = valid & (F.col("high").isNull() | (F.col("_below") > F.floor("rank")))
-    error = F.raise_error(F.lit("order statistic fell outside its bracket")).cast(kind)
-    return picked.select(
-        *keys,
-        "rank",
-        F.when(missed, error).when(valid, F.col("low")).alias("low"),
-        F.when(valid, F.col("high")).alias("high"),
+    found = materialise(picked.withColumn("_missed", missed), "order-statistic")
+    if not found.filter("_missed").isEmpty():
+        return scanned_statistic(values, "_x", F.lit(1), rank, keys)
+    return found.select(
+        *keys, "rank", F.when(valid, F.col("low")).alias("low"), F.when(valid, F.col("high")).alias("high")
+    )
+
+
+def scanned_statistic(
+    df: DataFrame,
+    column: str,
+    weight: Column,
+    rank: Callable[[Column], Column],
+    keys: Sequence[str] = (),
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """The same from the ordered distinct values: any number of keys, any key size, no bracket.
+
+    Rows count by ``weight``; keys whose rows all weigh nothing have no values.
+    """
+    counts = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.sum(weight).alias("_c"))
+    ranked = with_running_total(counts, keys, "_v", F.col("_c"), (), limits)
+    ranked = ranked.withColumn("rank", rank(F.col("total")).cast("double"))
+    upto = F.col("before") + F.col("_c")
+    return ranked.groupBy(*keys).agg(
+        F.max("rank").alias("rank"),
+        F.min(F.when((upto > F.floor("rank")) & (F.col("rank") >= 0), F.col("_v"))).alias("low"),
+        F.min(F.when((upto > F.ceil("rank")) & (F.col("rank") >= 0), F.col("_v"))).alias("high"),
     )
 
 
@@ -161,17 +184,7 @@ def grouped_quantile(
     """
     if is_small(df, limits):
         return df.groupBy(*keys).agg(F.percentile(column, F.lit(p)).cast("double").alias(name))
-    # NULL values stay as one row of weight 0 per key, behind all others
-    counts = df.groupBy(*keys, F.col(column).alias("_x")).agg(F.count(column).alias("_c"))
-    ranked = with_running_total(counts, keys, "_x", F.col("_c"), (), limits)
-    ranked = ranked.withColumn("rank", (F.col("total") - 1) * F.lit(p))
-    upto = F.col("before") + F.col("_c")
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.max("rank").alias("rank"),
-            F.min(F.when(upto > F.floor("rank"), F.col("_x"))).alias("low"),
-            F.min(F.when(upto > F.ceil("rank"), F.col("_x"))).alias("high"),
-        )
-        .select(*keys, _interpolated(F.col("low"), F.col("high"), F.col("rank")).cast("double").alias(name))
-    )
+    # NULL values stay as one row of weight 0 per key
+    known = F.col(column).isNotNull().cast("long")
+    found = scanned_statistic(df, column, known, lambda n: (n - 1) * F.lit(p), keys, limits)
+    return found.select(*keys, _interpolated(F.col("low"), F.col("high"), F.col("rank")).cast("double").alias(name))

@@ -289,3 +289,25 @@ def test_log_search(spark):
     rows = mon.search_log(runs, F.lit("2024-01-20").cast("timestamp_ntz"), 5, step="error").collect()
     assert len(rows) == 5 and [r["start_ts"] for r in rows] == sorted((r["start_ts"] for r in rows), reverse=True)
     assert all(r["step"] == "error" and r["start_ts"] >= at("2024-01-20") for r in rows)
+
+
+def test_many_channels_share_hashed_indicators(spark):
+    """Any number of channels fits and scores, with unseen and NULL ones."""
+    from ambergrid.models.forests import fit_forest, with_probability
+
+    rows = spark.range(6000).select(
+        F.col("id").alias("tx_id"),
+        F.concat(F.lit("channel."), F.col("id") % 5000).alias("channel"),
+        (F.col("id") % 5000 == 17).cast("int").alias("is_fraud"),
+        *[F.lit(0.0).alias(c) for c in ft.MODEL_FEATURES],
+    )
+    preparation = prep.Preparation.fit(rows)
+    assert preparation.features == [*ft.MODEL_FEATURES, *[f"payment#{k}" for k in range(prep.HASHED_LEVELS)]]
+    hashed = [f"x_payment#{k}" for k in range(prep.HASHED_LEVELS)]
+    odd = rows.limit(2).withColumn("channel", F.when(F.col("tx_id") == 0, "never seen"))
+    ready = preparation.apply(rows.unionByName(odd))
+    assert ready.filter(sum(F.col(f"`{c}`") for c in hashed) != F.col("channel").isNotNull().cast("int")).isEmpty()
+    slots = rows.select(prep.hashed_level("channel", prep.HASHED_LEVELS).alias("s")).groupBy("s").count().collect()
+    assert len(slots) == prep.HASHED_LEVELS and max(r["count"] for r in slots) < 300
+    model = fit_forest(ready.filter("tx_id < 5000"), preparation.inputs, "is_fraud", trees=3, depth=3)
+    assert with_probability(model, preparation.apply(odd)).filter("rf_probability BETWEEN 0 AND 1").count() == 2

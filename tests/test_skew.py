@@ -121,6 +121,19 @@ def test_narrowed_search_with_one_value_in_a_third_of_the_rows(skewed):
         assert found["low"] == values[k]
 
 
+@pytest.mark.parametrize("keys", [[], ["is_fraud"]])
+def test_a_bracket_that_misses_is_replaced(skewed, monkeypatch, keys):
+    """A wrong bracket is noticed by its counts; infinities and NaN are values like others."""
+    odd = F.when(F.col("tx_id") % 40 == 0, float("inf")).when(F.col("tx_id") % 41 == 0, float("nan")).otherwise(F.col("amount"))
+    table = skewed.withColumn("amount", odd)
+    right = order_statistic(table, "amount", lambda n: F.floor(n / 3), keys=keys, narrow_enough=300, sample=3000).collect()
+    monkeypatch.setattr("ambergrid.operators.quantile._margin", lambda sample: -400)
+    again = order_statistic(table, "amount", lambda n: F.floor(n / 3), keys=keys, narrow_enough=300, sample=3000).collect()
+    assert sorted(map(str, right)) == sorted(map(str, again)) and right[0]["low"] is not None
+    top = order_statistic(table, "amount", lambda n: n - 1, keys=keys, narrow_enough=300, sample=3000).collect()
+    assert all(str(r["high"]) == "nan" for r in top)
+
+
 def test_order_statistic_per_class(skewed):
     found = order_statistic(
         skewed, "tx_id", lambda n: F.floor(n / 2), keys=["is_fraud"], narrow_enough=100, sample=2000
