@@ -4,11 +4,14 @@ The automaton holds the word sequences of all templates and phrases. A text is s
 through it once; after every word the state and length give the longest match that ends
 there (the matching statistics). A phrase ends where its state lies on the suffix links of
 the current state. Long matches are chained per template, in order in text and template,
-into covered spans; a template counts when enough of its words are covered.
+into covered spans; a template counts when enough of its words are covered. Notices of one
+family differ by a word or two, so of overlapping spans of different labels only the one with
+the most covered words stays.
 
+The families are those of ``TEMPLATES``: their notices, not the bodies of the long licences.
 The automaton is built from the fixed texts below, so its size is fixed. Words are taken
 from UTF-8 bytes, on which lower-casing A-Z is exact. NULL and empty texts have no words
-and no labels.
+and no labels. Repeated rows give equal results, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -59,7 +62,61 @@ TEMPLATES = {
         "licensed under cc by nc 4 0",
         "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
     ],
+    "gpl-2": [
+        "this work is licensed under the gnu general public license version 2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "general public license as published by the free software foundation either version 2 of the license "
+        "or at your option any later version",
+    ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+        "lesser general public license as published by the free software foundation either version 2 1 of the "
+        "license or at your option any later version",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+        "lesser general public license as published by the free software foundation either version 3 of the "
+        "license or at your option any later version",
+    ],
+    "agpl-3": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "affero general public license as published by the free software foundation either version 3 of the "
+        "license or at your option any later version",
+    ],
+    "mpl-2": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
+        "was not distributed with this file you can obtain one at",
+    ],
+    "epl-2": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public "
+        "license 2 0 which is available at",
+    ],
+    "cc0": [
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights "
+        "to this work",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify "
+        "publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+    ],
+    "boost": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+        "software and accompanying documentation covered by this license the software to use reproduce display "
+        "distribute execute and transmit the software and to prepare derivative works of the software",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be "
+        "held liable for any damages arising from the use of this software permission is granted to anyone to use "
+        "this software for any purpose including commercial applications and to alter it and redistribute it freely "
+        "subject to the following restrictions",
+    ],
 }
+# the licences of one family, whose notices differ by the names of their terms and the version
+for _terms in ("", "nc", "sa", "nd", "nc sa", "nc nd"):
+    _names = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+    for _version in ("4 0 international", "3 0 unported"):
+        TEMPLATES.setdefault("-".join(["cc-by", *_terms.split()]), []).append(
+            f"this work is licensed under a creative commons {' '.join(['attribution', *map(_names.get, _terms.split())])} {_version} license"
+        )
 #: Words of the shortest match that may be chained.
 LEAST = 4
 #: Share of a template's words that its chained matches must cover, unless it is short.
@@ -206,9 +263,23 @@ def chains(long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]
                 continue
             share = covered / lengths[number]
             if covered and share >= (1.0 if lengths[number] <= SHORT else SHARE):
-                spans.append((labels[number], start, stop, min(1.0, share)))
+                spans.append((labels[number], start, stop, min(1.0, share), covered))
             start, stop, reach, covered = text_from, text_to, to, to - from_
-    return sorted(spans, key=lambda s: (s[1], s[0], s[2]))
+    return sorted({s[:4] for s in unrivalled(spans)}, key=lambda s: (s[1], s[0], s[2]))
+
+
+def unrivalled(spans: list[tuple]) -> list[tuple]:
+    """Spans without an overlapping span of another label that covers more words."""
+    ordered = sorted(spans, key=lambda s: (s[1], s[2]))
+    beaten = set()
+    for k, span in enumerate(ordered):
+        for j in range(k + 1, len(ordered)):  # spans are short, so few others begin inside one
+            other = ordered[j]
+            if other[1] >= span[2]:
+                break
+            if other[0] != span[0] and other[4] != span[4]:
+                beaten.add(k if span[4] < other[4] else j)
+    return [span for k, span in enumerate(ordered) if k not in beaten]
 
 
 def scan(text: bytes | None) -> dict:

@@ -157,6 +157,24 @@ def test_personal_data_column(docs, empty):
     assert empty.select(pii.pii_spans(F.col("text"))).count() == 0
 
 
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_every_family_gets_its_own_label(label):
+    """Whole notices, with punctuation, and long ones with an edit, are told from their relatives."""
+    rnd = random.Random(label)
+    for notice in licenses.TEMPLATES[label]:
+        words = notice.split()
+        text = f"Some prose before. {notice.capitalize()}, (c) and prose after"
+        assert licenses.scan(text.encode())["labels"] == label
+        if len(words) > 25:
+            edited = list(words)
+            edited[rnd.randrange(5)] = "zzz"
+            edited.insert(len(words) - 2, "qqq")
+            assert licenses.scan(" ".join(edited).encode())["labels"] == label
+        half = " ".join(words[: len(words) // 3])
+        assert licenses.scan(half.encode())["labels"] in ("", label)
+    assert licenses.scan(b"the general public may use this work under any license it likes")["labels"] == ""
+
+
 def test_licences(docs, empty):
     for row in docs.withColumn("found", licenses.license_scan(F.col("text"))).collect():
         n, places = brute.phrases(row["text"], licenses.PHRASES)
