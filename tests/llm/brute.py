@@ -4,6 +4,7 @@ import collections
 import fractions
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -247,3 +248,35 @@ def contaminated(docs, items, window=10):
                     names |= found
         out.append((len(words), len(hit), sorted(names)))
     return out
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over strings of symbols, from the definition."""
+
+    def __init__(self, lines, order, uniform):
+        self.order, self.uniform = order, uniform
+        grams = collections.Counter(x[i : i + order] for x in lines for i in range(len(x) - order + 1))
+        self.counts = {order: grams}
+        for k in range(order - 1, 0, -1):  # a lower order counts the different symbols before
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+
+    def discount(self, k):
+        found = collections.Counter(self.counts[k].values())
+        return min(max(found[1] / max(found[1] + 2 * found[2], 1), 0.1), 0.9)
+
+    def probability(self, context, symbol, k=None):
+        k = self.order if k is None else k
+        if k == 0:
+            return self.uniform
+        context = context[len(context) - k + 1 :]
+        after = {g: n for g, n in self.counts[k].items() if g[:-1] == context}
+        lower = self.probability(context, symbol, k - 1)
+        if not after:
+            return lower
+        total, discount = sum(after.values()), self.discount(k)
+        own = max(after.get(context + symbol, 0) - discount, 0) / total
+        return own + discount * len(after) / total * lower
+
+    def entropy(self, line):
+        places = range(self.order - 1, len(line))
+        return -sum(math.log2(self.probability(line[i - self.order + 1 : i], line[i])) for i in places) / len(places)

@@ -1,11 +1,13 @@
 """Operators that judge each row: pages, licences, personal data, languages, quality, mixing, packing."""
 
+import collections
 import random
 import time
 import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -418,3 +420,29 @@ def test_packing_round_trip(spark, empty, monkeypatch):
             place += piece["length"]
         assert place <= 4096
     assert packing.pack(empty, PATH, ["doc_id"]).count() == 0
+
+
+def test_language_models_equal_plain_kneser_ney():
+    rnd = random.Random(17)
+    corpora = {
+        "aa": ["".join(rnd.choice("abc d") for _ in range(rnd.randint(1, 40))) for _ in range(25)],
+        "bb": ["".join(rnd.choice("bcdée ") for _ in range(rnd.randint(1, 40))) for _ in range(25)],
+        "cc": ["x"],
+    }
+    lines = {lang: [language.normalise(t).tobytes().decode("utf-32-le") for t in texts] for lang, texts in corpora.items()}
+    rows = [
+        (lang, gram, n)
+        for lang, found in lines.items()
+        for gram, n in collections.Counter(x[i : i + 4] for x in found for i in range(len(x) - 3)).items()
+    ]
+    models = language.Models(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    assert models.langs == ["aa", "bb", "cc"]
+    plain = [brute.KneserNey(lines[lang], 4, 1 / 0x110000) for lang in models.langs]
+    texts = ["abc d", "é", "dddd cab", "zebra", "b" * 30, corpora["aa"][0] + corpora["bb"][0] + "q"]
+    found, sizes = models.entropies(texts)
+    for k, text in enumerate(texts):
+        line = language.normalise(text).tobytes().decode("utf-32-le")
+        assert sizes[k] == len(line) - 3
+        assert found[k] == pytest.approx([p.entropy(line) for p in plain], rel=1e-4)
+    chances = sum(plain[0].probability("abc"[:3], s) for s in {g[-1] for g in plain[0].counts[1]})
+    assert chances < 1 < chances + plain[0].uniform * 0x110000 * 0.5
