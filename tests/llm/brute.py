@@ -8,6 +8,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -280,3 +282,63 @@ class KneserNey:
     def entropy(self, line):
         places = range(self.order - 1, len(line))
         return -sum(math.log2(self.probability(line[i - self.order + 1 : i], line[i])) for i in places) / len(places)
+
+
+def robust_distances(texts, groups, core, cut, steps, least, consistency):
+    """Squared robust distance per text (None if the base rules reject it), by plain matrices.
+
+    ``groups`` are (language, source); small ones are pooled by language, then altogether.
+    """
+    rows = []
+    for text in texts:
+        n, chars, symbols, repeated, often = statistics(text)
+        lines = len([x for x in (text or "").split("\n") if SPACED.search(x)])
+        x = [math.log(max(chars, 1) / max(n, 1)), *(math.sqrt(a / max(b, 1)) for a, b in ((symbols, chars), (repeated, lines), (often, n)))]
+        rows.append((n < 50 or 100 * often > 50 * n, np.floor(np.array(x) * 1000 + 0.5), np.array([chars, chars, lines, n], float)))
+    good = [k for k, r in enumerate(rows) if not r[0]]
+    sizes = collections.Counter(groups[k] for k in good)
+    left = collections.Counter()
+    for (lang, source), n in sizes.items():
+        left[lang] += n if n < least else 0
+    name = {g: ("own", g) if n >= least else ("lang", g[0]) if left[g[0]] >= least else ("rest",) for g, n in sizes.items()}
+    pools = collections.defaultdict(list)
+    for k in good:
+        pools[name[groups[k]]].append(k)
+    if 0 < len(pools.get(("rest",), [])) < least:
+        judged = pools[("rest",)]
+        pools[("rest",)] = good
+    else:
+        judged = pools.get(("rest",), [])
+    out = [None] * len(texts)
+    at_once = np.array([4, 1, 1, 6]) / 4
+
+    def noise(n):
+        value = at_once / np.maximum(n, 1.0)
+        value[1:] = np.minimum(value[1:], 0.5 / cut)
+        return np.maximum(value * 1e6, 1 / 12)
+
+    for pool, members in pools.items():
+        x = np.array([rows[k][1] for k in members])
+        counted = np.array([rows[k][2] for k in members])
+        mean = counted.mean(axis=0)
+        floor = noise(mean)
+        ordered = np.sort(x, axis=0)
+        low, centre, high = (ordered[math.ceil(len(x) * q) - 1] for q in (0.25, 0.5, 0.75))
+        scatter = np.diag(np.maximum(((high - low) / 1.349) ** 2, floor))
+
+        def distances():
+            row = np.array([noise(np.minimum(c, mean)) for c in counted])
+            away = (x - centre) * np.sqrt(np.minimum(1.0, np.diag(scatter) / row))
+            return np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter), away)
+
+        for _ in range(steps):
+            bucket = np.maximum(np.floor(np.log2(np.maximum(distances(), 2.0**-8)) * 8), -64)
+            before = np.array([(bucket < b).sum() for b in bucket])
+            near = x[before < core * len(x)]
+            centre = near.mean(axis=0)
+            scatter = (near.T @ near / len(near) - np.outer(centre, centre)) * consistency
+            np.fill_diagonal(scatter, np.maximum(np.diag(scatter), floor))
+        for k, d in zip(members, distances()):
+            if pool != ("rest",) or k in set(judged):
+                out[k] = d
+    return out

@@ -446,3 +446,30 @@ def test_language_models_equal_plain_kneser_ney():
         assert found[k] == pytest.approx([p.entropy(line) for p in plain], rel=1e-4)
     chances = sum(plain[0].probability("abc"[:3], s) for s in {g[-1] for g in plain[0].counts[1]})
     assert chances < 1 < chances + plain[0].uniform * 0x110000 * 0.5
+
+
+def test_robust_distances_equal_plain_matrices(spark):
+    """Own estimates, pools by language and the last pool; odd texts among ordinary ones."""
+    rnd = random.Random(23)
+
+    def ordinary():
+        words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(rnd.randint(55, 130))]
+        words += rnd.sample(words, rnd.randint(0, 9)) + ["#" * rnd.randint(0, 3), "end"]
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        return "\n".join(lines + lines[: rnd.randrange(2)])
+
+    groups = [("en", "a")] * 150 + [("en", "b")] * 60 + [("en", "c")] * 70 + [("fr", "a")] * 40 + [(None, None)] * 9
+    texts = [ordinary() for _ in groups]
+    for k in range(0, len(texts), 13):
+        texts[k] = rnd.choice([None, "short", "#$%& " * 90, "one line\n" * 40 + ordinary(), "x" * 30 + " " + ordinary() * 2, "ab " * 80])
+    rows = [(k, t, g[0], g[1], 0, 0, "x", 0, 0) for k, (t, g) in enumerate(zip(texts, groups))]
+    found = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute.robust_distances(texts, groups, quality.CORE, quality.CUT, quality.STEPS, 100, quality.CONSISTENCY)
+    rejected = 0
+    for k, d in enumerate(want):
+        assert (found[k]["distance"] is None) == (d is None) == found[k]["base_failed"]
+        if d is not None:
+            assert found[k]["distance"] == pytest.approx(d, rel=1e-6, abs=1e-6)
+            assert found[k]["kept"] == (d <= quality.CUT)
+            rejected += d > quality.CUT
+    assert 0 < rejected < 40
