@@ -17,8 +17,8 @@ sufficient prefix.
   compared with an item-sized window of the text. Hashes only propose.
 
 The hashes of the records' shingles go to the tasks while they are counted as at most
-``SENT`` (16 MB); beyond it the documents' shingles are joined with them by a shuffle. All
-later tables hold matches only.
+``SENT`` (16 MB); beyond it the documents' shingles are joined with them by a shuffle, as bare
+hashes. All later tables hold matches only.
 
 Defined results: NULL and empty texts have no words, are never hit and hit nothing; a text
 without words likewise. Repeated documents are judged row by row. Items with the same
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambergrid.llm.common import BROADCAST_KEYS, map_arrow
+from ambergrid.llm.common import BROADCAST_KEYS, keep_keys, map_arrow
 from ambergrid.llm.jaccard import FIRST, SECOND, WordHashes
 from ambergrid.session import materialise
 
@@ -131,28 +131,36 @@ class Texts:
         shared = self._wanted(shingles, sent)
         if shared is None:
             widths = [row["width"] for row in shingles.select("width").distinct().collect()]  # at most WIDTH
-            places = map_arrow(self.rows.select("text"), _all_shingles(widths), "shingle long, n long")
+            rows = self.rows.select(F.lit(0).cast("long").alias("row"), "text")
+            places = map_arrow(rows, _all_shingles(widths), "row long, shingle long, n long")
             places = places.join(shingles.select("shingle"), "shingle", "left_semi")
         else:
             places = map_arrow(self.rows.select("text"), _counted(shared), "shingle long, n long")
         return places.groupBy("shingle").agg(F.sum("n").alias("n"))
 
     def hits(self, tokens: DataFrame, sent: int = SENT) -> tuple[DataFrame, DataFrame]:
-        """The rows (row, key, n_words) and the places (row, n_words, place, shingle, before, around) of the tokens."""
+        """The rows (row, key, n_words) and the places (row, n_words, place, shingle, before, around) of the tokens.
+
+        Beyond ``sent`` tokens the shingles of all texts are joined with them first, as bare hashes,
+        and only texts that hold a token are read for places; a row is named by its hash then.
+        """
         shared = self._wanted(tokens, sent)
-        widths = None
-        if shared is None:
-            widths = [row["width"] for row in tokens.select("width").distinct().collect()]
         place = "struct<place: bigint, shingle: bigint, before: int, around: string>"
-        found = map_arrow(
-            self.rows, _placed(shared, widths, self.window), f"key {self.kind}, n_words long, hits array<{place}>"
-        )
-        found = found.withColumn("row", F.monotonically_increasing_id())
-        found = materialise(found, "places")
-        hits = found.where(F.size("hits") > 0).select("row", "n_words", F.inline("hits"))
-        if shared is None:
-            hits = hits.join(tokens.select("shingle"), "shingle", "left_semi")
-        return found.select("row", "key", "n_words"), hits
+        schema = f"row long, key {self.kind}, n_words long, hits array<{place}>"
+        if shared is not None:
+            numbered = self.rows.withColumn("row", F.monotonically_increasing_id())
+            found = materialise(map_arrow(numbered, _placed(shared, [], self.window), schema), "places")
+            hits = found.where(F.size("hits") > 0).select("row", "n_words", F.inline("hits"))
+            return found.select("row", "key", "n_words"), hits
+        widths = [row["width"] for row in tokens.select("width").distinct().collect()]  # at most WIDTH
+        named = self.rows.withColumn("row", F.xxhash64("key", "text"))
+        pairs = map_arrow(named.select("row", "text"), _all_shingles(widths), "row long, shingle long, n long")
+        wanted = pairs.join(tokens.select("shingle"), "shingle", "left_semi").select("row").distinct()
+        held = keep_keys(named, materialise(wanted, "wanted"), "row")
+        hits = map_arrow(held, _placed(None, widths, self.window), schema).select("row", "n_words", F.inline("hits"))
+        hits = materialise(hits.join(tokens.select("shingle"), "shingle", "left_semi"), "places")
+        rows = materialise(map_arrow(named, _placed(None, [], self.window), schema), "rows")
+        return rows.select("row", "key", "n_words"), hits
 
 
 def _counted(shared):
@@ -179,11 +187,14 @@ def _all_shingles(widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for text in batch["text"]:
+            for row, text in zip(batch["row"].to_pylist(), batch["text"]):
                 hashes = hash_words(split_words(text.as_py()), known)
                 for width in widths:
                     found, n = np.unique(shingle_hashes(hashes, width), return_counts=True)
-                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+                    yield pa.record_batch(
+                        [pa.array(np.full(len(found), row, np.int64)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
+                        ["row", "shingle", "n"],
+                    )
 
     return run
 
@@ -191,8 +202,11 @@ def _all_shingles(widths: list[int]):
 PLACES = pa.list_(pa.struct([("place", pa.int64()), ("shingle", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
 
 
-def _placed(shared, widths: list[int] | None, window: int):
-    """Per row: its number of words, and the places of wanted shingles with the words around."""
+def _placed(shared, widths: list[int], window: int):
+    """Per row: its number of words, and the places of wanted shingles with the words around.
+
+    Without a broadcast all shingles of the ``widths`` are wanted.
+    """
 
     def places(words: list[bytes], known: WordHashes) -> list[dict]:
         hashes = hash_words(words, known)
@@ -214,11 +228,12 @@ def _placed(shared, widths: list[int] | None, window: int):
                 texts = [split_words(text.as_py()) for text in batch["text"]]
                 yield pa.record_batch(
                     [
+                        batch["row"],
                         batch["key"],
                         pa.array([len(words) for words in texts], pa.int64()),
                         pa.array([places(words, known) for words in texts], PLACES),
                     ],
-                    ["key", "n_words", "hits"],
+                    ["row", "key", "n_words", "hits"],
                 )
 
     return run
