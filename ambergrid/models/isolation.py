@@ -68,12 +68,14 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, depth_limit: int) -> d
 
 def regression_forest(spark: SparkSession, trees: Sequence[dict], width: int) -> RandomForestRegressionModel:
     """The trees as a forest of Spark ML whose prediction is the mean path length."""
-    nodes = []
-    for number, tree in enumerate(trees):
-        columns = [tree[name] for name in ("value", "left", "right", "feature", "threshold")]
-        for k, (value, left, right, feature, threshold) in enumerate(zip(*columns)):
-            nodes.append((number, k, float(value), [0.0, 0.0, 0.0], left, right, feature, float(threshold)))
-    table = spark.createDataFrame(nodes, NODES).coalesce(1)
+    names = ("value", "left", "right", "feature", "threshold")
+    columns = {name: np.concatenate([np.asarray(t[name]) for t in trees]) for name in names}
+    sizes = [len(t["feature"]) for t in trees]
+    columns |= {"tree": np.repeat(np.arange(len(trees)), sizes), "node": np.concatenate([np.arange(n) for n in sizes])}
+    table = spark.createDataFrame(pd.DataFrame(columns)).coalesce(1)  # columns, as rows of Python objects are slow
+    kinds = dict(part.split() for part in NODES.split(", "))
+    counts = F.array(*[F.lit(0.0)] * 3).alias("counts")
+    table = table.select(*[counts if c == "counts" else F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
     return stored_forest(table, RandomForestRegressionModel, len(trees), width)
 
 

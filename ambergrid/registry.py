@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import zlib
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -23,12 +24,19 @@ ENTRY_SCHEMA = (
     "saved_at timestamp, rows long, size_bytes long, schema string, columns array<string>, "
     "metadata map<string,string>"
 )
+#: Folders of the log, by hash of the key: looking a key up reads one of them. Spark lists up to 32 without a job.
+BUCKETS = 32
 #: Modules whose models may be loaded beside those of Spark ML.
 LOADABLE = ("ambergrid.models.isolation",)
 MODEL_PREFIX = "models/"
 TABLE_PREFIX = "dataframes/"
 
 
+def _bucket(key: str) -> int:
+    """Folder of the log that holds a key's entries."""
+    return zlib.crc32(key.encode()) % BUCKETS
+
+
 def latest_entries(entries: DataFrame) -> DataFrame:
     """The newest entry per key, tombstones included. One partially aggregated shuffle."""
     newest = F.max_by(F.struct(*entries.columns), F.struct("saved_at", "run_id"))
@@ -50,12 +58,14 @@ class Registry:
 
     # -- entries ---------------------------------------------------------
 
-    def entries(self) -> DataFrame:
-        """Every save and deletion so far."""
+    def entries(self, key: str | None = None) -> DataFrame:
+        """Every save and deletion so far; with a key those of its bucket, the only files read then."""
         folder = self._folder()
+        if key is not None:
+            folder = f"{folder}/bucket={_bucket(key)}"
         if not self._there(folder):
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
-        return self.spark.read.schema(ENTRY_SCHEMA).parquet(folder)
+        return self.spark.read.schema(ENTRY_SCHEMA).option("recursiveFileLookup", True).parquet(folder)
 
     def _folder(self) -> str:
         """The folder of the log: the one that the newest pointer names, if there is one."""
@@ -70,8 +80,9 @@ class Registry:
 
     def _append(self, rows: Sequence[Mapping]) -> None:
         names = [part.split()[0] for part in ENTRY_SCHEMA.replace("map<string,string>", "map").split(", ")]
-        data = [tuple(row.get(n) for n in names) for row in rows]
-        self.spark.createDataFrame(data, ENTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self._folder())
+        data = [(*[row.get(n) for n in names], _bucket(row["key"])) for row in rows]
+        entries = self.spark.createDataFrame(data, f"{ENTRY_SCHEMA}, bucket int")
+        entries.coalesce(1).write.mode("append").partitionBy("bucket").parquet(self._folder())
 
     def compact(self) -> None:
         """Gather the small files of the log in a new folder, all versions and tombstones included.
@@ -81,7 +92,8 @@ class Registry:
         """
         now = time.time_ns()
         fresh = f"{self._log}-{now}"
-        self.entries().coalesce(1).write.parquet(fresh)
+        dealt = self.entries().withColumn("bucket", (F.crc32(F.encode("key", "UTF-8")) % BUCKETS).cast("int"))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(fresh)
         pointer = self.spark.createDataFrame([(fresh, now)], "path string, at long")
         pointer.coalesce(1).write.mode("append").parquet(f"{self._log}_pointer")
 
@@ -108,7 +120,7 @@ class Registry:
 
     def find(self, key: str) -> dict:
         """The entry of an existing key."""
-        row = latest_entries(self.entries().filter(F.col("key") == key)).first()
+        row = latest_entries(self.entries(key).filter(F.col("key") == key)).first()
         if row is None or row["deleted"]:
             raise KeyError(f"Key not found: {key}")
         return row.asDict()
