@@ -149,3 +149,28 @@ def test_step_log_keeps_successes_and_failures(registry, small):
     assert not rows["fail"]["success"] and "nope" in rows["fail"]["error"] and rows["fail"]["rows"] is None
     assert registry.load("double_result").agg(F.sum("col2")).first()[0] == 30.0
     assert tuple(run_summary(log.runs()).first()) == ("r1", 2, 3, False)
+
+
+def test_finding_a_key_reads_few_files(registry, spark):
+    """10,000 entries: a key's bucket is read, not the whole log; compaction keeps the answer."""
+    for part in range(5):
+        registry._append([{**registry._entry(f"key{k}", "columns", f"{part}"), "columns": [str(part)]} for k in range(part, 10_000, 5)])
+    assert registry.entries().count() == 10_000
+    files = registry.entries("key777").inputFiles()
+    assert 0 < len(files) <= 12
+    assert registry.find("key777")["columns"] == ["2"]
+    with pytest.raises(KeyError):
+        registry.find("key10001")
+    registry.compact()
+    assert len(registry.entries("key777").inputFiles()) == 1
+    assert registry.find("key777")["columns"] == ["2"] and registry.entries().count() == 10_000
+
+
+def test_two_writers_lose_nothing(registry, spark, small):
+    other = Registry(spark, registry.root)
+    for k in range(3):
+        registry.save_columns("mine", [str(k)])
+        other.save_columns("theirs", [str(k)])
+        other.save_columns("mine", [f"other{k}"])
+    assert registry.entries().count() == 9
+    assert registry.load_columns("mine") == ["other2"] and registry.load_columns("theirs") == ["2"]
