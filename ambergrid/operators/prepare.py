@@ -11,8 +11,8 @@ from pyspark.sql.types import MapType
 
 from ambergrid.functions.scalar import flag, hash_order
 from ambergrid.operators.features import MODEL_FEATURES
-from ambergrid.operators.pieces import with_running_total
-from ambergrid.session import DEFAULT_LIMITS, Limits
+from ambergrid.operators.pieces import salted_left_join, with_running_total
+from ambergrid.session import DEFAULT_LIMITS, Limits, materialise
 
 #: Default gap for a user's first transaction: one hour.
 FIRST_GAP_SECONDS = 3600.0
@@ -197,6 +197,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Attach the weight of each row's class; rows without a class have none."""
-    return df.join(class_weights(df, label).select(label, "weight"), label, "left")
+def with_class_weights(df: DataFrame, label: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Attach the weight of each row's class; rows without a class have none.
+
+    The rows stay where they are unless there are so many classes that their weights cannot be
+    broadcast: few classes in a shuffle join would put all rows into as few tasks.
+    """
+    weights = materialise(class_weights(df, label).select(label, "weight"), "weights")
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    joined = salted_left_join(df.withColumn("_spread", F.xxhash64(*hashable)), weights, label, "_spread", limits)
+    return joined.select(label, *[c for c in df.columns if c != label], "weight")
