@@ -14,7 +14,7 @@ from ambergrid.operators import features as ft
 from ambergrid.plans.fraud import FraudModel, train_fraud_model
 from ambergrid.session import Limits
 from ambergrid.sources import tables as src
-from ambergrid.streaming import common, jobs
+from ambergrid.streaming import common, history, jobs
 from ambergrid.streaming.history import running_moments, with_user_history
 from ambergrid.streaming.profile import moments_of
 
@@ -175,3 +175,53 @@ def test_running_moments_in_parts():
     assert math.isclose(mean, known.mean(), rel_tol=1e-15)
     assert math.isclose(m2, ((known - known.mean()) ** 2).sum(), rel_tol=1e-6)
     assert running_moments(np.array([np.nan]), 0, 0.0, 0.0)[0].tolist() == [0]
+
+
+def test_users_share_the_calls_of_the_processor(spark, tmp_path, monkeypatch):
+    """A call costs milliseconds whatever it is given, so calls must not grow with the users."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = history.UserHistory.handleInputRows
+
+    class Counted(history.UserHistory):
+        def handleInputRows(self, key, rows, timerValues):
+            seen.add(1)
+            yield from plain(self, key, rows, timerValues)
+
+    monkeypatch.setattr(history, "UserHistory", Counted)
+    users = 3 * history.BUCKETS
+    at = datetime(2024, 1, 1)
+    rows = [(k, at + timedelta(seconds=k // users * 60), k % users, "view", float(k % 7), "{}") for k in range(2 * users)]
+    got, _ = drained(spark, with_user_history(write_parts(spark, tmp_path / "in", rows, 2)), tmp_path, "out")
+    assert got.groupBy("time_since_last_transaction", "user_transaction_count").count().collect() == unordered(
+        [(None, 1, users), (60.0, 2, users)]
+    )
+    assert history.BUCKETS < seen.value <= 2 * history.BUCKETS
+
+
+def unordered(rows):
+    class Same(list):
+        def __eq__(self, other):
+            return sorted(map(tuple, other), key=str) == sorted(self, key=str)
+
+    return Same(rows)
+
+
+def test_rows_without_time_or_key_and_large_keys(spark, tmp_path, monkeypatch):
+    """Users of one bucket do not meet: unknown times and keys, and whole numbers beyond doubles."""
+    monkeypatch.setattr(history, "BUCKETS", 1)
+    at = datetime(2024, 1, 1)
+    odd = 2**62 + 1
+    rows = [
+        (odd, at, 1, "view", 1.0, "{}"), (odd + 2, None, 1, "view", 3.0, "{}"), (None, at + timedelta(seconds=5), 1, "view", None, "{}"),
+        (7, None, 2**61 + 1, "view", 5.0, "{}"), (8, at + timedelta(seconds=9), 2**61 + 1, "view", 7.0, "{}"), (9, at, 2**61 + 2, "view", 9.0, "{}"),
+    ]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    known = with_user_history(common.event_stream(spark, str(tmp_path / "in")))
+    got, _ = drained(spark, known, tmp_path, "out")
+    names = ("user_id", "time_since_last_transaction", "user_transaction_count", "user_amount_count", "user_avg_amount")
+    found = {r["tx_id"]: tuple(r[c] for c in names) for r in got.collect()}
+    assert found == {
+        odd: (1, None, 1, 1, 1.0), None: (1, 5.0, 2, 1, 1.0), odd + 2: (1, None, 3, 2, 2.0),
+        8: (2**61 + 1, None, 1, 1, 7.0), 7: (2**61 + 1, None, 2, 2, 6.0), 9: (2**61 + 2, None, 1, 1, 9.0),
+    }
+    assert got.where("ts IS NULL").count() == 2
