@@ -10,8 +10,13 @@ Spark ML's trees end at depth 30. Here columns are binned once, and trees grow i
   subtree grows to pure leaves, however deep.
 
 A tree sees every row as often as a Poisson draw from the row's hash says, and a node looks at
-a random part of the features, more if none of them parts its rows. The grown nodes are
-numbered and written by the tasks and read as a forest of Spark ML.
+a random part of the features, more if none of them parts its rows.
+
+A forest of unbounded depth has about as many nodes as its trees have rows, so ``GrownForest``
+leaves them in files and scores as it grew: rows are sent down the upper nodes, and meet each
+subtree in one task. Only the upper nodes, one per ``LOCAL`` rows, are known to the driver.
+``GrownForest.model`` numbers the nodes and reads them as a forest of Spark ML, which holds
+all of them on the driver and in every executor: for forests that are small enough to store.
 
 Values of a column that fall into one of at most 255 bins are not told apart; columns of
 fewer values are binned exactly. Rows whose label or array is NULL are left out, NaN goes right.
@@ -20,10 +25,12 @@ fewer values are binned exactly. Rows whose label or array is NULL are left out,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -317,7 +324,98 @@ def _finished(width: int, classes: int, seed: int, tried: int):
     return run
 
 
-def fit_deep_forest(
+def _asked(shared, width: int):
+    """Every row to the node of every tree at which the upper part ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, len(whole), 500):
+                batch = whole.slice(begin, 500)
+                bins, size = _matrix(batch, width), len(batch)
+                for number, tree in enumerate(shared.value):
+                    yield pa.record_batch(
+                        [pa.array(np.full(size, number, np.int32)), pa.array(places(tree, bins).astype(np.int32)), batch["hash"], batch["bins"]],
+                        ["tree", "top", "row", "bins"],
+                    )
+
+    return run
+
+
+def _walked(width: int, classes: int):
+    """The share of each class in the leaf that a row comes to; the nodes of a subtree come before its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, tree, shares = None, [], None, None
+        for batch in batches:
+            owner = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "top", "asked")], axis=1)
+            edges = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]).any(axis=1)]) if len(owner) else []
+            for low, high in zip(edges, [*edges[1:], len(owner)]):
+                part, own = batch.slice(low, high - low), tuple(owner[low, :2])
+                if own != key:
+                    key, parts, tree = own, [], None
+                if not owner[low, 2]:
+                    parts.append(part)
+                    continue
+                if tree is None:
+                    if parts:
+                        nodes = pa.Table.from_batches(parts)
+                        tree = np.stack([nodes[c].to_numpy().astype(np.int64) for c in ("feature", "bin", "left", "right")], axis=1)
+                        shares = np.array(nodes["counts"].to_pylist(), float).reshape(-1, classes)
+                    else:  # no row was drawn for it
+                        tree, shares = np.array([[-1, 0, -1, -1]]), np.eye(1, classes)
+                    shares, parts = shares / shares.sum(axis=1, keepdims=True), []
+                found = shares[places(tree, _matrix(part, width))]
+                row, label = np.nonzero(found)
+                yield pa.record_batch(
+                    [part["row"].take(pa.array(row)), pa.array(label.astype(np.int32)), pa.array(found[row, label])], ["_row", "class", "share"]
+                )
+
+    return run
+
+
+@dataclass
+class GrownForest:
+    """A grown forest whose nodes stay in files."""
+
+    features: str
+    upper: Trees
+    subtrees: DataFrame
+    cuts: list[np.ndarray]
+    classes: int
+
+    def model(self) -> RandomForestClassificationModel:
+        """The forest of Spark ML, all of it in memory."""
+        nodes = _numbered(self.subtrees, self.upper, self.cuts, self.classes)
+        return stored_forest(nodes, RandomForestClassificationModel, len(self.upper.nodes), len(self.cuts), self.classes)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``probability`` and ``prediction`` as Spark ML's forest does; NULL where the features are."""
+        spark, width, classes, trees = df.sparkSession, len(self.cuts), self.classes, len(self.upper.nodes)
+        kept = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "unscored", spread=True)
+        rows = kept.filter(F.col(self.features).isNotNull()).select(
+            F.lit(0).alias("label"), F.col("_row").alias("hash"), F.col(self.features).cast("array<double>").alias("features")
+        )
+        shared = spark.sparkContext.broadcast(self.upper.arrays())
+        asked = rows.mapInArrow(_binned(self.cuts), "label int, hash long, bins binary").mapInArrow(
+            _asked(shared, width), "tree int, top int, row long, bins binary"
+        )
+        nodes = self.subtrees
+        if self.upper.leaves:
+            ends = [(tree, top, 0, counts, -1, -1, -1, 0) for (tree, top), counts in self.upper.leaves.items()]
+            nodes = nodes.unionByName(spark.createDataFrame(ends, SUBTREE))
+        both = nodes.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+        deal = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = both.repartition(deal, "tree", "top").sortWithinPartitions("tree", "top", "asked", "place")
+        votes = dealt.mapInArrow(_walked(width, classes), "_row long, class int, share double")
+        voted = votes.groupBy("_row", "class").agg((F.sum("share") / trees).alias("share"))
+        shares = F.map_from_entries(F.collect_list(F.struct("class", "share")))
+        per_row = voted.groupBy("_row").agg(shares.alias("_shares"), (-F.max(F.struct("share", -F.col("class")))["col2"]).cast("double").alias("prediction"))
+        chances = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.coalesce(F.try_element_at("_shares", c), F.lit(0.0)))
+        scored = per_row.select("_row", array_to_vector(chances).alias("probability"), "prediction")
+        return kept.join(scored, "_row", "left").drop("_row")
+
+
+def grow_deep_forest(
     train: DataFrame,
     label: str,
     features: str,
@@ -325,7 +423,7 @@ def fit_deep_forest(
     trees: int = 100,
     seed: int = 42,
     local: int = LOCAL,
-) -> RandomForestClassificationModel:
+) -> GrownForest:
     """Forest over an array of numbers; labels are whole numbers from 0. Rows are drawn by ``key``."""
     rows = train.filter(F.col(label).isNotNull() & F.col(features).isNotNull()).select(
         F.col(label).cast("int").alias("label"),
@@ -370,7 +468,20 @@ def fit_deep_forest(
     deal = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = sent.repartition(deal, "tree", "node").sortWithinPartitions("tree", "node", "bins", "label", "weight")
     subtrees = materialise(dealt.mapInArrow(_finished(width, classes, seed, tried), SUBTREE), "subtrees")
-    return stored_forest(_numbered(subtrees, upper, cuts, classes), RandomForestClassificationModel, trees, width, classes)
+    return GrownForest(features, upper, subtrees, cuts, classes)
+
+
+def fit_deep_forest(
+    train: DataFrame,
+    label: str,
+    features: str,
+    key: str,
+    trees: int = 100,
+    seed: int = 42,
+    local: int = LOCAL,
+) -> RandomForestClassificationModel:
+    """The forest of ``grow_deep_forest`` as one of Spark ML."""
+    return grow_deep_forest(train, label, features, key, trees, seed, local).model()
 
 
 def _numbered(subtrees: DataFrame, upper: Trees, cuts: list[np.ndarray], classes: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambergrid.models.deep import fit_deep_forest
+from ambergrid.models.deep import GrownForest, grow_deep_forest
 from ambergrid.models.forests import fit_multiclass, with_vector
 from ambergrid.operators.evaluate import accuracy, classification_report
 from ambergrid.operators.prepare import random_split, split_tables
@@ -21,11 +21,15 @@ def with_ratios(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFra
 
 def train_multiclass(
     df: DataFrame, key: str, values: str, label: str, test_share: float = 0.3, trees: int = 100, depth: int | None = None
-) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training part, without a limit of depth unless one is given; returns the model and the scored test rows."""
+) -> tuple[PipelineModel | GrownForest, DataFrame]:
+    """Fit on the training part, without a limit of depth unless one is given; returns the model and the scored test rows.
+
+    Without a limit the model is a ``GrownForest``, which scores from its files; its ``model()`` can be stored.
+    """
     parts = split_tables(random_split(with_vector(df, values), key, test_share))
     if depth is None:
-        model = PipelineModel([fit_deep_forest(parts["train"], label, values, key, trees)])
+        model = grow_deep_forest(parts["train"], label, values, key, trees)
+        parts["test"] = parts["test"].select(key, label, values)
     else:
         model = fit_multiclass(parts["train"], label, trees, depth)
     tested = model.transform(parts["test"]).select(key, label, F.col("prediction").cast("int").alias("prediction"))

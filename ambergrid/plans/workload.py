@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ambergrid.functions import scalar
 from ambergrid.functions.scalar import flag, hash_order, route
 from ambergrid.models.forests import feature_importance as top_features
-from ambergrid.models.forests import fit_boosted, fit_forest, with_probability, with_vector
+from ambergrid.models.forests import fit_boosted, fit_forest, with_probability
 from ambergrid.models.isolation import IsolationForest
 from ambergrid.operators import alerts as al
 from ambergrid.operators import evaluate as ev
@@ -699,7 +699,7 @@ def rf_multiclass(spark, sf_dir):
     tested = materialise(tested, "tested")
     labels = vectors.select(F.col("label").alias("prediction")).distinct().withColumn("known", F.lit(True))
     # trees of any depth tell the rows apart that they were grown on
-    fitted = model.transform(with_vector(vectors.join(tested.select("vec_id"), "vec_id", "left_anti"), "embedding"))
+    fitted = model.transform(vectors.join(tested.select("vec_id"), "vec_id", "left_anti"))
     learned = ev.accuracy(fitted.select("label", F.col("prediction").cast("int").alias("prediction")), "label", "prediction")
     return tested.join(F.broadcast(labels), "prediction", "left").crossJoin(F.broadcast(learned)).select(
         "vec_id",

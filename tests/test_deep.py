@@ -107,3 +107,25 @@ def test_bins_of_few_and_many_values(spark):
     values = np.stack([rare, rng.normal(size=1000)], axis=1)
     cuts = deep.cut_points(table(spark, values, np.zeros(1000)), "v")
     assert cuts[0].tolist() == [0, 1, 2, 3, 4] and 200 < len(cuts[1]) <= 254
+
+
+@pytest.mark.parametrize("local", [50_000, 25])
+def test_a_forest_in_files_scores_like_the_stored_one(spark, local, monkeypatch):
+    """Scoring must not load the forest: it has about as many nodes as its trees have rows."""
+    rng = np.random.default_rng(7)
+    values = np.round(rng.normal(size=(400, 4)), 1)
+    labels = rng.integers(0, 3, 400)
+    values[5, 1] = np.nan
+    values[300:], labels[300:330] = values[0], 2  # rows that no split parts, some of another class
+    data = table(spark, values, labels)
+    grown = deep.grow_deep_forest(data.filter("id < 350"), "label", "v", "id", trees=15, local=local)
+    assert bool(grown.upper.leaves) or local > 25
+    stored = {r["id"]: r for r in grown.model().transform(data).collect()}
+    monkeypatch.setattr(deep, "stored_forest", None)
+    asked = data.drop("features").unionByName(spark.createDataFrame([(-1, 0, None)], SCHEMA))
+    found = {r["id"]: r for r in grown.transform(asked).collect()}
+    assert found.pop(-1)["prediction"] is None and found.keys() == stored.keys()
+    for key, row in found.items():
+        assert np.allclose(row["probability"].toArray(), stored[key]["probability"].toArray(), atol=1e-12)
+        top = sorted(row["probability"].toArray())[-2:]
+        assert row["prediction"] == stored[key]["prediction"] or top[1] - top[0] < 1e-9
