@@ -23,9 +23,14 @@ BATCH_ROWS = 500
 
 
 def use_workers(spark: SparkSession) -> None:
-    """Prepare a stage that runs in Python workers: the package, and small batches."""
+    """Prepare a stage that runs in Python workers: the package, and small batches to the workers and from files.
+
+    The reader's own 4096 whole texts are arrays of many megabytes, for which the heap grows to its
+    limit beside the workers.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
