@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambergrid.functions.scalar import flag
+from ambergrid.models.binned import grow_forest
 from ambergrid.operators.alerts import PROBABILITY_ABOVE
 from ambergrid.operators.prepare import Scaler, with_class_weights
 from ambergrid.session import scratch_path
@@ -54,18 +55,11 @@ def fit_forest(
     seed: int = 42,
 ) -> PipelineModel:
     """Random forest; ``balanced`` weighs every class n / (k * n_class)."""
-    forest = RandomForestClassifier(
-        labelCol=label,
-        featuresCol="features",
-        numTrees=trees,
-        maxDepth=depth,
-        seed=seed,
-        **PASSES,
-        **({"weightCol": "weight"} if balanced else {}),
-    )
-    data = with_class_weights(train, label) if balanced else train
-    fitted = Pipeline(stages=[*_stages(data, inputs, scale), forest]).fit(data)
-    return _reloaded(fitted, train.sparkSession)
+    data = with_class_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
+    stages = _stages(data, inputs, scale)
+    rows = stages[0].transform(data) if scale else data
+    forest = grow_forest(rows, stages[-1].getInputCols(), label, "weight", trees, depth, seed)
+    return PipelineModel([*stages, forest])
 
 
 def fit_boosted(

@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from ambergrid.session import scratch_path
 
 #: A node: its number in the tree (children after parents, from 0), the value of a leaf or the counts of
-#: its classes, and the split (feature -1 for a leaf; rows with value <= threshold go left).
+#: its classes, and the split (feature -1 for a leaf; rows with value <= threshold go left). Importances
+#: need two more columns, the ``gain`` of the split and the ``impurity`` of the node.
 NODES = "tree int, node int, value double, counts array<double>, left int, right int, feature int, threshold double"
 
 
-def stored_forest(nodes: DataFrame, kind: type[JavaMLReadable], trees: int, width: int, classes: int = 0):
-    """The nodes as a forest: a regression by mean leaf values, or a classification if there are classes."""
+def stored_forest(nodes: DataFrame, kind: type[JavaMLReadable], trees: int, width: int, classes: int = 0, params: dict | None = None):
+    """The nodes as a forest: a regression by mean leaf values, or a classification if there are classes.
+
+    ``params`` are those with which the forest was grown, under the names of Spark ML.
+    """
     spark = nodes.sparkSession
     path = scratch_path(spark, "trees")
     name = "Classification" if classes else "Regression"
@@ -36,7 +40,7 @@ def stored_forest(nodes: DataFrame, kind: type[JavaMLReadable], trees: int, widt
         **({"numClasses": classes} if classes else {}),
     }
     package = f"org.apache.spark.ml.{name.lower()}"
-    whole = {"class": f"{package}.RandomForest{name}Model", "uid": "grown_forest", "paramMap": {"numTrees": trees}, "numTrees": trees, **about}
+    whole = {"class": f"{package}.RandomForest{name}Model", "uid": "grown_forest", "paramMap": {**(params or {}), "numTrees": trees}, "numTrees": trees, **about}
     part = {"class": f"{package}.DecisionTree{name}Model", "paramMap": {}, **about}
     leaf = F.col("feature") < 0
     split = F.struct(
@@ -47,10 +51,10 @@ def stored_forest(nodes: DataFrame, kind: type[JavaMLReadable], trees: int, widt
     node = F.struct(
         F.col("node").alias("id"),
         F.col("value").alias("prediction"),
-        F.lit(0.0).alias("impurity"),
+        (F.col("impurity") if "impurity" in nodes.columns else F.lit(0.0)).alias("impurity"),
         F.col("counts").alias("impurityStats"),
         F.aggregate("counts", F.lit(0.0), lambda x, y: x + y).cast("long").alias("rawCount"),
-        F.lit(0.0).alias("gain"),
+        (F.col("gain") if "gain" in nodes.columns else F.lit(0.0)).alias("gain"),
         F.col("left").alias("leftChild"),
         F.col("right").alias("rightChild"),
         split.alias("split"),

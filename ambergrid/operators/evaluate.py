@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ambergrid.operators.pieces import with_running_total
-from ambergrid.session import DEFAULT_LIMITS, Limits
+from ambergrid.session import DEFAULT_LIMITS, Limits, materialise
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -68,16 +68,19 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 def roc_auc(df: DataFrame, label: str, score: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Area under the ROC curve, ties counted half; exact and without a global window.
 
-    Rows are first reduced to one per distinct score. A positive outranks the
-    negatives with lower scores and half of those with the same score.
+    Rows are first reduced to one per distinct score, written, so that scores are found
+    once. A positive outranks the negatives with lower scores and half of those with the
+    same score.
     """
     positive = F.col(label) == 1
     by_score = (
-        df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+        df.filter(F.col(label).isNotNull())
         .groupBy(F.col(score).cast("double").alias("s"))
         .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     )
-    ranked = with_running_total(by_score, [], "s", F.col("neg"), (), limits)
+    # a filter of unknown scores before would find every score twice
+    known = materialise(by_score, "by-score").filter("s IS NOT NULL")
+    ranked = with_running_total(known, [], "s", F.col("neg"), (), limits)
     wins = F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.agg(F.try_divide(wins, pairs).alias("auc"))

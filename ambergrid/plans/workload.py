@@ -660,6 +660,7 @@ def _forest(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame,
     """The default forest over the training rows, fitted once per state of the data, the rows and inputs."""
     key = spark.sparkContext.applicationId, _version(spark, sf_dir)
     if key not in _fitted:
+        ship_package(spark)
         rows, inputs = _model_table(spark, sf_dir)
         _fitted[key] = fit_forest(prep.split_tables(rows)["train"], inputs, "is_fraud"), rows, inputs
     return _fitted[key]
