@@ -22,6 +22,9 @@ STATISTICS_MB = 1024
 #: Remember each row's node between levels instead of walking every tree again.
 PASSES = {"maxMemoryInMB": STATISTICS_MB, "cacheNodeIds": True, "checkpointInterval": 10}
 
+#: Tasks per core of a pass over the rows of boosted trees.
+TASKS = 2
+
 
 def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
     """The model as scoring jobs get it: written and read back.
@@ -79,9 +82,13 @@ def fit_boosted(
         maxDepth=depth,
         stepSize=step,
         seed=seed,
-        **PASSES,
+        # a tree of few levels is walked faster than the nodes of all rows are kept
+        **{**PASSES, "cacheNodeIds": False},
     )
-    return Pipeline(stages=[*_stages(train, inputs, False), boosted]).fit(train)
+    # all passes read the rows where the first one put them, so every core gets as many of them
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    even = train.select(label, *inputs).repartition(TASKS * cores)
+    return Pipeline(stages=[*_stages(train, inputs, False), boosted]).fit(even)
 
 
 def with_probability(model: PipelineModel, df: DataFrame, prefix: str = "rf") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ambergrid.models import binned
-from ambergrid.models.forests import feature_importance, fit_forest, with_probability
+from ambergrid.models.forests import feature_importance, fit_boosted, fit_forest, with_probability
 from ambergrid.operators.evaluate import roc_auc
 from ambergrid.session import Limits, materialise
 
@@ -137,3 +137,11 @@ def test_scores_are_found_once(spark, rows):
     scored = rows.withColumn("s", F.udf(counted, "double")("a"))
     auc = roc_auc(scored, "y", "s", Limits(small_bytes=0, hot_rows=500)).first()["auc"]
     assert seen.value == 6000 and auc > 0.7
+
+
+def test_boosted_trees_read_even_partitions(spark, rows):
+    """Rows that lie in one file: every core gets as many of them."""
+    one = materialise(rows.coalesce(1), "one-file")
+    model = fit_boosted(one, ["a", "b", "c"], "y", rounds=4, depth=3)
+    assert model.stages[-1].getOrDefault("cacheNodeIds") is False
+    assert with_probability(model, rows, "gbt").filter("gbt_prediction <> y").count() < 300
